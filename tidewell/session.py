@@ -32,8 +32,14 @@ def build(app: str = "tidewell", master: str | None = None, **more: str) -> Spar
     return ship(builder.getOrCreate())
 
 
+#: Rows that Spark hands a Python worker at a time, unless the session says otherwise: texts may be long.
+ARROW_ROWS = "512"
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package, wherever the driver was started."""
+    """Let Python workers import this package, wherever the driver was started, and keep their batches small."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     env = spark.sparkContext.environment
     path = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
     if ROOT not in path.split(os.pathsep):
