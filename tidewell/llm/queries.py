@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import rendezvous
+from tidewell.llm import htmltext, rendezvous
 from tidewell.session import table
 
 
@@ -13,8 +13,14 @@ def op9_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendezvous.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    return htmltext.extract_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op9_rendezvous_shards": op9_rendezvous_shards,
+    "op10_main_text": op10_main_text,
 }
 ORACLES = {
     "op9_rendezvous_shards": rendezvous.oracle(),
