@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewell.llm import htmltext, rendezvous
+from tidewell.llm import bpe, htmltext, rendezvous
 from tidewell.session import table
 
 
@@ -18,8 +20,15 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op3_bpe_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of the text that they decode to."""
+    found = bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op9_rendezvous_shards": op9_rendezvous_shards,
+    "op3_bpe_digests": op3_bpe_digests,
     "op10_main_text": op10_main_text,
 }
 ORACLES = {
