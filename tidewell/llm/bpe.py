@@ -8,6 +8,9 @@ closes the gaps; words in which nothing merges leave. Words are split off at whi
 pre-token of these vocabularies crosses, so a worker encodes a distinct word once; its memory of words is emptied when it is
 full, which changes no result.
 
+Characters that Python's Unicode tables don't know yet have their class and case from the library, which may
+be newer; all others follow Python.
+
 Defined results: a null text is encoded as the empty one, which has no ids; ids decode to the tokens' own
 strings joined by a blank, as the library does for a vocabulary without a decoder. Repeated rows repeat.
 """
@@ -24,13 +27,22 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
 from tidewell.llm.textbatch import over_slices
 
 #: Distinct words that a worker remembers, give or take one slice's.
 MEMORY = 500_000
 #: White space as str.split() has it but the vocabularies' patterns don't.
-SEPARATORS = re.compile("[\x1c-\x1f]")
+SEPARATORS, WHITE = re.compile("[\x1c-\x1f]"), re.compile(r"[^\S\x1c-\x1f]+")
+
+
+@lru_cache(maxsize=1)
+def unknown() -> re.Pattern:
+    """Matches characters that Python's Unicode tables have as unassigned."""
+    none = np.array([unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)])
+    edges = np.flatnonzero(np.diff(none, prepend=False, append=False))
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edges.reshape(-1, 2).tolist()) + "]")
 
 
 def byte_symbols() -> list[str]:
@@ -46,6 +58,8 @@ class Vocabulary:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
+        self.library = Tokenizer.from_file(path)
+        self.byte_of = {s: b for b, s in enumerate(byte_symbols())}
         model, ids = spec["model"], spec["model"]["vocab"]
         self.suffix = model["end_of_word_suffix"] or ""
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
@@ -69,8 +83,16 @@ class Vocabulary:
 
     def normalise(self, text: str) -> str:
         """NFC and lower case character by character (so that sigma has one form)."""
+        if not text.isascii() and unknown().search(text):
+            return self.library.normalizer.normalize_str(text)
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
+    def pieces(self, word: str) -> list[bytes]:
+        """A word's pre-tokens."""
+        if not word.isascii() and unknown().search(word):
+            return [bytes(map(self.byte_of.__getitem__, piece)) for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(word)]
+        return [piece.encode() for piece in self.pattern.findall(word)]
+
     def merge(self, pieces: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of many pre-tokens in one array, and how many each has."""
         lengths = np.array([len(p) for p in pieces], np.int64)
@@ -123,11 +145,11 @@ class Encoder:
 
     def _learn(self, words: list[str]) -> None:
         """Put words into memory, special tokens as their own ids."""
-        special, pattern = self.vocabulary.special, self.vocabulary.pattern
+        special = self.vocabulary.special
         pieces, owner = [], []
         for i, word in enumerate(words):
             if word not in special:
-                found = [p.encode() for p in pattern.findall(word)]
+                found = self.vocabulary.pieces(word)
                 pieces += found
                 owner += [i] * len(found)
         ids, sizes = self.vocabulary.merge(pieces) if pieces else (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -151,11 +173,11 @@ class Encoder:
                 found.append(part)
             else:
                 part = v.normalise(part)
-                # a special token's string can only stand here as what normalising made; it is then ordinary text
-                if SEPARATORS.search(part) or any(s in part for s in v.special):
-                    found += v.pattern.findall(part)
-                else:
-                    found += part.split()
+                chunks = WHITE.split(part) if SEPARATORS.search(part) else part.split()
+                if v.special and any(s in part for s in v.special):
+                    # what normalising made into a special token's string is ordinary text
+                    chunks = [x.decode() for chunk in chunks for x in v.pieces(chunk)]
+                found += filter(None, chunks)
         return found
 
     def encode(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
