@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import bpe, htmltext, rendezvous
+from tidewell.llm import bpe, htmltext, rendezvous, repair
 from tidewell.session import table
 
 
@@ -26,9 +26,16 @@ def op3_bpe_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place, count and checksum of ids, read back from grammar-compressed files."""
+    found = repair.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES = {
     "op9_rendezvous_shards": op9_rendezvous_shards,
     "op3_bpe_digests": op3_bpe_digests,
+    "op5_token_files": op5_token_files,
     "op10_main_text": op10_main_text,
 }
 ORACLES = {
