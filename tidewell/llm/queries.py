@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import bpe, htmltext, rendezvous, repair
+from tidewell.llm import bpe, htmltext, minhash, rendezvous, repair
 from tidewell.session import table
 
 
@@ -20,6 +20,11 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents linked at 85 % of their 3-word shingles."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85, rows=5)
+
+
 def op3_bpe_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of the text that they decode to."""
     found = bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -33,6 +38,7 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_near_duplicates": op1_near_duplicates,
     "op9_rendezvous_shards": op9_rendezvous_shards,
     "op3_bpe_digests": op3_bpe_digests,
     "op5_token_files": op5_token_files,
