@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import bpe, htmltext, langid, minhash, rendezvous, repair
+from tidewell.llm import bpe, bytecnn, htmltext, langid, minhash, rendezvous, repair
 from tidewell.session import table
 
 
@@ -15,6 +15,11 @@ def op9_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendezvous.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of all documents."""
+    return bytecnn.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of all documents."""
     return langid.identify(table(spark, sf_dir, "documents"))
@@ -47,6 +52,7 @@ QUERIES = {
     "op9_rendezvous_shards": op9_rendezvous_shards,
     "op3_bpe_digests": op3_bpe_digests,
     "op5_token_files": op5_token_files,
+    "op6_quality": op6_quality,
     "op8_language": op8_language,
     "op10_main_text": op10_main_text,
 }
