@@ -48,8 +48,8 @@ def test_every_byte_is_seen_and_neighbours_do_not_matter():
 
 
 def test_missing_values_and_empty_tables(spark):
-    docs = spark.createDataFrame([(1, None, 5), (2, "", 5), (None, "text", 5), (4, "a" * 100_000, 5), (4, "again", 5)], "doc_id long, text string, score int")
-    labels = spark.createDataFrame([(4, 1, 0), (4, None, 0), (None, 0, 0)], "doc_id long, quality int, text int")
+    docs = spark.createDataFrame([(1, None, 5), (2, "", 5), (None, "text", 5), (7, "a" * 100_000, 5), (7, "again", 5)], "doc_id long, text string, score int")
+    labels = spark.createDataFrame([(7, 1, 0), (7, None, 0), (None, 0, 0)], "doc_id long, quality int, text int")
     got = bytecnn.classify(docs, labels).collect()
     assert len(got) == 5 and {r.score for r in got} == {1.0}
     assert {r.score for r in bytecnn.classify(docs, labels.limit(0)).collect()} == {0.5}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import bpe, bytecnn, htmltext, langid, minhash, rendezvous, repair
+from tidewell.llm import bpe, bytecnn, htmltext, langid, minhash, rendezvous, repair, toxicity
 from tidewell.session import table
 
 
@@ -41,6 +41,11 @@ def op3_bpe_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of all documents."""
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place, count and checksum of ids, read back from grammar-compressed files."""
     found = repair.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -51,6 +56,7 @@ QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op9_rendezvous_shards": op9_rendezvous_shards,
     "op3_bpe_digests": op3_bpe_digests,
+    "op4_toxicity": op4_toxicity,
     "op5_token_files": op5_token_files,
     "op6_quality": op6_quality,
     "op8_language": op8_language,
