@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import bpe, bytecnn, htmltext, langid, minhash, rendezvous, repair, toxicity
+from tidewell.llm import bpe, bytecnn, htmltext, langid, minhash, pivots, rendezvous, repair, toxicity
 from tidewell.session import table
 
 
@@ -20,6 +20,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytecnn.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings linked at a cosine of 0.95."""
+    return pivots.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of all documents."""
     return langid.identify(table(spark, sf_dir, "documents"))
@@ -59,6 +64,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_token_files": op5_token_files,
     "op6_quality": op6_quality,
+    "op7_embedding_links": op7_embedding_links,
     "op8_language": op8_language,
     "op10_main_text": op10_main_text,
 }
