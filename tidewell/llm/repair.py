@@ -17,7 +17,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import public_tokenizers
@@ -47,6 +47,14 @@ TABLE_BITS = 18
 FORMAT = "range int, shard int, doc_ids array<long>, counts array<long>, rules binary, lengths binary, sequence binary"
 
 
+def gather(pool: np.ndarray, starts: np.ndarray, counts: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The runs of pool numbered which, one after the other."""
+    n = counts[which]
+    ends = np.cumsum(n)
+    total = int(ends[-1]) if len(ends) else 0
+    return pool[np.arange(total) + np.repeat(starts[which] - ends + n, n)]
+
+
 class LibraryEncoder:
     """The tokenizers library with a memory of words.
 
@@ -60,8 +68,7 @@ class LibraryEncoder:
         self.library, self.memory = Tokenizer.from_file(path), memory
         self.library.no_truncation()
         self.library.no_padding()
-        self.pattern, self.symbols = regex.compile(public_tokenizers.PATTERN), byte_symbols()
-        self.tokens: dict[str, list[int]] = {}
+        self.pattern, self.symbols = regex.compile(public_tokenizers.PATTERN), dict(enumerate(byte_symbols()))
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.number: dict[str, int] = {}
         self.pool = self.used = np.zeros(0, np.int32)
@@ -76,35 +83,38 @@ class LibraryEncoder:
         keep[again] = np.arange(len(again))
         self.number = {k: keep[i] for k, i in self.number.items() if keep[i] >= 0}
         counts = self.count[again]
+        self.pool = gather(self.pool, self.start, self.count, again)
         ends = np.cumsum(counts)
-        total = int(ends[-1]) if len(ends) else 0
-        self.pool = self.pool[np.arange(total) + np.repeat(self.start[again] - ends + counts, counts)]
         self.start, self.count, self.used = ends - counts, counts, np.zeros(len(again), np.int32)
 
-    def _tokens(self, piece: str) -> list[int]:
-        """The ids of a piece: the library's model on each pre-token, remembered for the next piece that has it."""
-        if not piece.isascii() and unknown().search(piece):
-            return self.library.encode(piece, add_special_tokens=False).ids
-        found: list[int] = []
-        for token in self.pattern.findall(piece):
-            ids = self.tokens.get(token)
-            if ids is None:
-                shown = "".join(map(self.symbols.__getitem__, token.encode()))
-                ids = self.tokens[token] = [t.id for t in self.library.model.tokenize(shown)]
-            found += ids
-        return found
-
-    def _learn(self, keys: list[str], pieces: list[str], whole: list[bool]) -> None:
-        """Remember pieces; what may not be taken apart goes to the library whole."""
-        if len(self.tokens) > self.memory:
-            self.tokens.clear()
-        found = [self.library.encode(p, add_special_tokens=False).ids if w else self._tokens(p) for p, w in zip(pieces, whole, strict=True)]
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces that each begin with a blank or line feed, and how many each has. Such pieces stay apart in one text,
+        whose pre-tokens go to the library's model once each."""
+        tokens = self.pattern.findall("".join(pieces))
+        place = {t: i for i, t in enumerate(dict.fromkeys(tokens))}
+        shown = [t.encode().decode("latin-1").translate(self.symbols) for t in place]
+        model = self.library.model.tokenize
+        found = [[t.id for t in model(token)] for token in shown]
         counts = np.fromiter(map(len, found), np.int64, len(found))
-        self.number.update(zip(keys, range(len(self.number), len(self.number) + len(keys)), strict=True))
+        pool = np.fromiter(chain.from_iterable(found), np.int32, int(counts.sum()))
+        which = np.fromiter(map(place.__getitem__, tokens), np.int64, len(tokens))
+        owner = np.searchsorted(np.cumsum([len(p) for p in pieces]), np.cumsum([len(t) for t in tokens]), side="left")
+        return gather(pool, np.cumsum(counts) - counts, counts, which), np.bincount(owner, counts[which], len(pieces)).astype(np.int64)
+
+    def _learn(self, keys: list[str], texts: set[str]) -> None:
+        """Remember keys; those of whole texts or first pieces go to the library whole, as does what Python's tables don't know."""
+        odd = {c for c in set().union(*keys) if not c.isascii() and unknown().match(c)}
+        alone = [k for k in keys if k in texts or odd and not odd.isdisjoint(k)]
+        rest = list(set(keys).difference(alone)) if alone else keys
+        ids, counts = self._pieces([k if k[0] == "\n" else " " + k for k in rest])
+        whole = [self.library.encode(k[2:] if k in texts else k if k[0] == "\n" else " " + k, add_special_tokens=False).ids for k in alone]
+        ids = np.append(ids, np.fromiter(chain.from_iterable(whole), np.int32))
+        counts = np.append(counts, np.fromiter(map(len, whole), np.int64, len(whole)))
+        self.number.update(zip(chain(rest, alone), range(len(self.number), len(self.number) + len(keys)), strict=True))
         self.start = np.append(self.start, len(self.pool) + np.cumsum(counts) - counts)
         self.count = np.append(self.count, counts)
         self.used = np.append(self.used, np.zeros(len(keys), np.int32))
-        self.pool = np.append(self.pool, np.fromiter(chain.from_iterable(found), np.int32, int(counts.sum())))
+        self.pool = np.append(self.pool, ids)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of many texts in one array, and how many each has."""
@@ -120,20 +130,20 @@ class LibraryEncoder:
                 # a first piece has no blank before it; a piece after a line feed holds that line feed instead
                 first, *rest = text.replace("\n", " \n").split(" ")
                 keys.append(["f" + first, *rest])
-        new = list(set(chain.from_iterable(keys)).difference(self.number))
-        if new:
-            # later pieces are words (then a blank belongs before) or begin with a line feed; marks tell the other two
-            marks = {own[0] for own in keys if own}
-            pieces = [k[1:] if k in marks else k if k[0] == "\n" else " " + k for k in new]
-            self._learn(new, pieces, [k in marks and k[0] == "w" for k in new])
-        which = np.fromiter(map(self.number.__getitem__, chain.from_iterable(keys)), np.int64, sum(map(len, keys)))
+        # a mark before whole texts and first pieces could be a word's own letter, so these have a number of their own
+        marks = {own[0]: "\0" + own[0] for own in keys if own}
+        for own in keys:
+            if own:
+                own[0] = marks[own[0]]
+        flat = list(chain.from_iterable(keys))
+        which = np.fromiter(map(self.number.get, flat, repeat(-1)), np.int64, len(flat))
+        if len(missing := np.flatnonzero(which < 0)):
+            new = [flat[i] for i in missing.tolist()]
+            self._learn(list(dict.fromkeys(new)), set(marks.values()))
+            which[missing] = np.fromiter(map(self.number.__getitem__, new), np.int64, len(new))
         self.used += np.bincount(which, minlength=len(self.used)).astype(np.int32)
-        counts = self.count[which]
-        ends = np.cumsum(counts)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.pool[np.arange(total) + np.repeat(self.start[which] - ends + counts, counts)]
-        last = np.append(0, ends)[np.cumsum([len(own) for own in keys], dtype=np.int64)]
-        return ids, np.diff(last, prepend=0)
+        last = np.append(0, np.cumsum(self.count[which]))[np.cumsum([len(own) for own in keys], dtype=np.int64)]
+        return gather(self.pool, self.start, self.count, which), np.diff(last, prepend=0)
 
 
 @lru_cache(maxsize=2)
@@ -142,48 +152,50 @@ def worker_encoder(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
 
 
-def _slot(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return ((left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA77))) >> np.uint32(32 - TABLE_BITS)
+def _slot(pairs: np.ndarray) -> np.ndarray:
+    return (pairs * np.uint32(0x9E3779B1)) >> np.uint32(32 - TABLE_BITS)
 
 
 def compress(ids: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rules (a row of two symbols for each nonterminal base, base + 1, ...), their expanded lengths, the sequence."""
     seq = ids.astype(np.uint32)
-    rules = np.zeros((0, 2), np.uint32)
-    lengths = np.ones(base, np.int64)
+    rules = np.zeros(0, np.uint32)  # left symbol in the high half, right symbol in the low half, as all pairs here
     for _ in range(ROUNDS):
         room = SYMBOLS - base - len(rules)
         if len(seq) < 2 * FREQUENT or room <= 0:
             break
-        left, right = seq[:-1], seq[1:]
-        pairs, counts = np.unique(left.astype(np.uint64) << np.uint64(32) | right, return_counts=True)
+        pairs = seq[:-1] << np.uint32(16) | seq[1:]
+        ordered = np.sort(pairs)
+        first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+        counts = np.diff(np.append(first, len(ordered)))
         often = np.flatnonzero(counts >= FREQUENT)
         often = often[np.argsort(-counts[often], kind="stable")][: min(room, 4 * (SYMBOLS - base) // ROUNDS)]
-        chosen = pairs[often]
-        a, b = (chosen >> np.uint64(32)).astype(np.uint32), chosen.astype(np.uint32)
-        slots, first = np.unique(_slot(a, b), return_index=True)  # of pairs with one slot, the more frequent now, the others next round
-        first.sort()
-        a, b = a[first], b[first]
-        if not len(a):
+        chosen = ordered[first[often]]
+        _, index = np.unique(_slot(chosen), return_index=True)  # of pairs with one slot, the more frequent now, the others next round
+        chosen = chosen[np.sort(index)]
+        if not len(chosen):
             break
-        table = np.zeros(1 << TABLE_BITS, np.int64)
-        table[_slot(a, b)] = np.arange(1, len(a) + 1)
-        rule = table[_slot(left, right)]
-        a0, b0 = np.append(np.uint32(0), a), np.append(np.uint32(0), b)
-        take = (rule > 0) & (a0[rule] == left) & (b0[rule] == right)
-        follows = np.append(False, take[:-1]) & take
+        table = np.zeros(1 << TABLE_BITS, np.uint16)
+        table[_slot(chosen)] = np.arange(len(chosen))
+        rule = table[_slot(pairs)]
+        where = np.flatnonzero(chosen[rule] == pairs)
+        follows = np.append(False, where[1:] == where[:-1] + 1)
         if follows.any():  # in a run of overlapping pairs every second one counts, from the run's start
-            at = np.arange(len(take))
-            take &= (at - np.maximum.accumulate(np.where(take & ~follows, at, 0))) % 2 == 0
-        where = np.flatnonzero(take)
-        used, index = np.unique(rule[where], return_inverse=True)
-        seq[where] = (base + len(rules) + index).astype(np.uint32)
+            run = np.maximum.accumulate(np.where(follows, 0, np.arange(len(where))))
+            where = where[(np.arange(len(where)) - run) % 2 == 0]
+        used = np.flatnonzero(np.bincount(rule[where], minlength=len(chosen)))
+        number = np.zeros(len(chosen), np.uint32)
+        number[used] = base + len(rules) + np.arange(len(used))
+        seq[where] = number[rule[where]]
         stay = np.ones(len(seq), bool)
         stay[where + 1] = False
         seq = seq[stay]
-        rules = np.concatenate([rules, np.stack([a0[used], b0[used]], 1)])
-        lengths = np.append(lengths, lengths[a0[used]] + lengths[b0[used]])
-    return rules, lengths[base:], seq
+        rules = np.append(rules, chosen[used])
+    rows = np.stack([rules >> np.uint32(16), rules & np.uint32(0xFFFF)], 1)
+    lengths = [1] * base
+    for a, b in rows.tolist():
+        lengths.append(lengths[a] + lengths[b])
+    return rows, np.array(lengths[base:], np.int64), seq
 
 
 class Grammar:
@@ -200,10 +212,7 @@ class Grammar:
 
     def expand(self, sequence: np.ndarray) -> np.ndarray:
         """All ids of a part of the sequence."""
-        counts = self.lengths[sequence]
-        ends = np.cumsum(counts)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.pool[np.arange(total) + np.repeat(self.starts[sequence] - ends + counts, counts)]
+        return gather(self.pool, self.starts, self.lengths, sequence)
 
     def between(self, sequence: np.ndarray, start: int, end: int) -> np.ndarray:
         """The ids from start to end of a shard; only symbols that reach into that span are expanded."""
