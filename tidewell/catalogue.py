@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tidewell.plans import content, urls_and_text
+
+QUERIES = {**urls_and_text.QUERIES, **content.QUERIES}
+ORACLES = {**urls_and_text.ORACLES, **content.ORACLES}
