@@ -33,7 +33,7 @@ def build(app: str = "tidewell", master: str | None = None, **more: str) -> Spar
 
 
 #: Rows that Spark hands a Python worker at a time, unless the session says otherwise: texts may be long.
-ARROW_ROWS = "512"
+ARROW_ROWS = "256"
 
 
 def ship(spark: SparkSession) -> SparkSession:
