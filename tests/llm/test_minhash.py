@@ -77,3 +77,17 @@ def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(1, i) for i in range(2, 60)] + [(200, 200), (7, 3)]
     got = dict(tuple(r) for r in components(spark.createDataFrame(edges, "x long, y long")).collect())
     assert got == {**{i: 100 for i in range(100, 141)}, **{i: 1 for i in range(1, 60)}}
+
+
+def test_a_group_of_copies_with_few_and_many_edits(spark):
+    rnd = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(150):
+        text = list(base)
+        for _ in range(rnd.choice([0, 1, 1, 2, 3, 6, 10])):
+            text[rnd.randrange(60)] = f"x{rnd.random()}"
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs, 3, 85, 5).collect()}
+    assert got == brute(rows, 3, 85)

@@ -5,12 +5,14 @@ into one of BINS bins and is its value there; a bin's value is the least of them
 bin that isn't empty, found by a sequence of bins that depends on the empty bin's number alone, which keeps bins
 independent even for short documents. Bins are put together into bands; documents that agree in a band share a bucket.
 
-Equal sets are one node from the start (the least doc_id stands for all). Within a bucket, candidates are stars:
-one hub is compared with the others, on full sets. Hubs that failed with some members leave links between those open,
-so rounds go on, with twice as many hubs a bucket each time, between nodes of a bucket that aren't in one component yet
-and of which neither was a hub; a bucket ends when these are in one component. So what is compared is the
-members times a few hubs where a bucket's documents belong together, and no pair that shares a bucket stays
-unexamined where it could join two components.
+Equal sets are one node from the start (the least doc_id stands for all). Within a bucket, candidates are stars: one hub, the node
+with most company in all its buckets, is compared with the others, on full sets. Hubs that failed with some members leave
+links between those open, so rounds go on, with four times as many hubs a bucket each time (in a bucket of few that
+are left, all), between nodes of a bucket that aren't in one component yet and of which neither was a hub; a bucket ends when
+these are in one component. After the first round a bound spares most of them: shingles that no other open node has
+can't be shared, so a pair's intersection is at most the smaller of the two counts of the other shingles. What is compared
+is the members times a few hubs where a bucket's documents belong together, and no pair that shares a bucket stays
+unexamined where it could be a link that joins two components.
 
 Defined results: null and empty texts, and texts without words, have the empty set and are linked with nothing; rows with
 one doc_id are one node; a row without doc_id shares the component of its exact copies that have one, and is kept if it
@@ -24,7 +26,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.components import components
@@ -33,6 +35,8 @@ from tidewell.session import materialise
 
 #: Bins of the permutation. With bands of 5 rows a pair at 0.85 is missed about once in a million, with 4 at 0.8 once in seven million.
 BINS = 120
+#: Nodes left in a bucket of which all are hubs in the next round.
+FEW = 16
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 #: Stands for a word that isn't there, in texts shorter than a shingle.
 ABSENT = np.uint64(0x5851F42D4C957F2D)
@@ -86,7 +90,7 @@ def band_keys(sets: list[np.ndarray], rows: int) -> np.ndarray:
     empty, attempt = ~full, 0
     r, c = np.nonzero(empty)
     while len(r):
-        source = (mix(c.astype(np.uint64) * _C[3] + np.uint64(attempt) * _C[0] + _C[4]) % np.uint64(BINS)).astype(np.int64)
+        source = (mix(c.astype(np.uint64) * _C[3] + mix(np.array([attempt], np.uint64) + _C[4])) % np.uint64(BINS)).astype(np.int64)
         hit = full[r, source]
         values[r[hit], c[hit]] = values[r[hit], source[hit]]
         r, c, attempt = r[~hit], c[~hit], attempt + 1
@@ -140,32 +144,56 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").filter(100 * both >= percent * (F.size("_x") + F.size("_y") - both)).select("a", "b").distinct()
 
 
-def join_buckets(members: DataFrame, confirm) -> DataFrame:
-    """Labels (id, component) of nodes that links between nodes of one bucket connect; confirm(pairs) keeps the pairs (a, b) that are links.
+def possible(n: Column, shared: Column, other_n: Column, other_shared: Column, percent: int) -> Column:
+    """Whether sets of n and other_n shingles, of which shared and other_shared may be in another set at all, can be linked."""
+    most = F.least(shared, other_shared)
+    return 100 * most >= percent * (n + other_n - most)
 
-    members: (bucket, id), of buckets with two ids or more. Nodes without links may be missing from the result.
+
+def bounded(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """left (bucket, id, ...) with n and shared of each node's set, without nodes that can be linked with none of their bucket."""
+    own = sets.join(left.select("id").distinct(), "id", "left_semi")
+    lone = own.select("id", F.explode("shingles").alias("_s")).groupBy("_s").agg(F.count("*").alias("_n"), F.min("id").alias("id")).filter("_n = 1").groupBy("id").agg(F.count("*").alias("_lone"))
+    sizes = own.select("id", F.size("shingles").cast("long").alias("n")).join(lone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("_lone", F.lit(0))).alias("shared"))
+    sized = materialise(left.join(sizes, "id"), "sized")
+    least = sized.groupBy("bucket").agg(F.min("n").alias("_least"))
+    # the other set has at least what is shared, and as many as the bucket's smallest
+    other = F.greatest("shared", "_least")
+    return sized.join(least, "bucket").filter(possible(F.col("n"), F.col("shared"), other, other, percent)).drop("_least")
+
+
+def join_buckets(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Labels (id, component) of nodes that links between nodes of one bucket connect; nodes without links may be missing.
+
+    members: (bucket, id, company), of buckets with two ids or more, company being the same in all rows of an id.
     """
-    members = materialise(members.withColumn("label", F.col("id")), "members")
-    links, compared, hubs = None, None, 1
+    members = members.withColumn("label", F.col("id"))
+    links, compared, labels, hubs = None, None, None, 1
     while True:
-        open_buckets = members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket")
-        left = materialise(members.join(open_buckets, "bucket", "left_semi"), "open")
-        if left.isEmpty():
-            break
-        chosen = left.groupBy("bucket", F.pmod(F.xxhash64("id"), F.lit(hubs)).alias("_slot")).agg(F.min(F.struct("id", "label")).alias("hub")).select("bucket", "hub")
-        pairs = left.join(chosen, "bucket").filter("hub.label <> label").groupBy(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).agg(F.lit(1).alias("_")).drop("_")
+        open_buckets = members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("many")).filter("lo <> hi").select("bucket", "many")
+        left = materialise(members.join(open_buckets, "bucket"), "open")
+        if hubs > 1 and left.isEmpty():
+            return labels
+        slot = F.lit(0) if hubs == 1 else F.when(F.col("many") <= FEW, F.col("id")).otherwise(F.pmod(F.xxhash64("id"), F.lit(hubs)))
+        fields = ["id", "label", *(["n", "shared"] if hubs > 1 else [])]
+        chosen = left.groupBy("bucket", slot.alias("_slot")).agg(F.max(F.struct("company", *fields)).alias("hub")).select("bucket", "hub")
+        fit = F.col("hub.label") != F.col("label")
+        if hubs > 1:
+            fit = fit & possible(F.col("n"), F.col("shared"), F.col("hub.n"), F.col("hub.shared"), percent)
+        pairs = left.join(chosen, "bucket").filter(fit).groupBy(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).agg(F.lit(1).alias("_")).drop("_")
         pairs = materialise(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
-        found = materialise(confirm(pairs), "links")
+        found = materialise(confirmed(pairs, sets, percent), "links")
         compared = pairs if compared is None else compared.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
         labels = materialise(components(links), "labels")
-        rest = left.join(chosen.select("bucket", F.col("hub.id").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id")
-        members = rest.join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("label"))
+        rest = left.join(chosen.select("bucket", F.col("hub.id").alias("id")), ["bucket", "id"], "left_anti").drop("many", "label")
+        members = rest.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+        if hubs == 1:
+            members = materialise(members, "rest")
+            still = members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket")
+            members = bounded(members.join(still, "bucket", "left_semi"), sets, percent)
         members = materialise(members, "members")
-        hubs *= 2
-    if links is None:
-        return members.select("id", F.col("label").alias("component")).limit(0)
-    return labels
+        hubs *= 4
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: int = 4) -> DataFrame:
@@ -175,11 +203,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
     nodes = known.groupBy("digest").agg(F.min("doc_id").alias("id"), F.min_by("bands", "doc_id").alias("bands"))
     nodes = materialise(nodes, "nodes")
     rows_of = nodes.select("id", F.explode("bands").alias("bucket"))
-    shared = rows_of.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("bucket")
-    members = materialise(rows_of.join(shared, "bucket", "left_semi").select("bucket", "id"), "buckets")
+    shared = rows_of.groupBy("bucket").agg(F.count("*").alias("_many"), F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("bucket", "_many")
+    met = materialise(rows_of.join(shared, "bucket").select("bucket", "id", "_many"), "met")
+    members = materialise(met.join(met.groupBy("id").agg(F.sum("_many").alias("company")), "id").select("bucket", "id", "company"), "buckets")
     active = members.select(F.col("id").alias("doc_id")).distinct()
     sets = materialise(full_sets(docs.select(F.col("doc_id").cast("long"), "text").join(active, "doc_id", "left_semi"), words), "sets")
-    labels = join_buckets(members, lambda pairs: confirmed(pairs, sets, percent))
+    labels = join_buckets(members, sets, percent)
     of_digest = nodes.select("digest", "id").join(labels, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     out = found.join(of_digest, "digest", "left")
     component = F.coalesce("component", "doc_id")
