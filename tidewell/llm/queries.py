@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import bpe, bytecnn, htmltext, langid, minhash, pivots, rendezvous, repair, toxicity
+from tidewell.llm import bpe, bytecnn, decontam, htmltext, langid, minhash, pivots, rendezvous, repair, toxicity
 from tidewell.session import table
 
 
@@ -40,6 +40,11 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85, rows=5)
 
 
+def op2_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of a document and a benchmark item that it holds."""
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_bpe_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of the text that they decode to."""
     found = bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -60,6 +65,7 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op9_rendezvous_shards": op9_rendezvous_shards,
+    "op2_benchmark_leaks": op2_benchmark_leaks,
     "op3_bpe_digests": op3_bpe_digests,
     "op4_toxicity": op4_toxicity,
     "op5_token_files": op5_token_files,
