@@ -14,6 +14,7 @@ empty table gives an empty file and no rows.
 
 from __future__ import annotations
 
+import gc
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -71,6 +72,8 @@ class LibraryEncoder:
         self.pattern, self.symbols = regex.compile(public_tokenizers.PATTERN), dict(enumerate(byte_symbols()))
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.number: dict[str, int] = {}
+        self.place: dict[str, int] = {}
+        self.parts, self.part_counts = np.zeros(0, np.int32), np.zeros(0, np.int64)
         self.pool = self.used = np.zeros(0, np.int32)
         self.start = self.count = np.zeros(0, np.int64)
 
@@ -79,8 +82,9 @@ class LibraryEncoder:
         again = np.flatnonzero(self.used > 1)
         if 2 * len(again) > self.memory:
             again = np.sort(again[np.argsort(-self.used[again], kind="stable")[: self.memory // 2]])
-        keep = np.full(len(self.used), -1)
-        keep[again] = np.arange(len(again))
+        place = np.full(len(self.used), -1)
+        place[again] = np.arange(len(again))
+        keep = place.tolist()
         self.number = {k: keep[i] for k, i in self.number.items() if keep[i] >= 0}
         counts = self.count[again]
         self.pool = gather(self.pool, self.start, self.count, again)
@@ -89,17 +93,21 @@ class LibraryEncoder:
 
     def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces that each begin with a blank or line feed, and how many each has. Such pieces stay apart in one text,
-        whose pre-tokens go to the library's model once each."""
+        whose pre-tokens go to the library's model and are remembered."""
         tokens = self.pattern.findall("".join(pieces))
-        place = {t: i for i, t in enumerate(dict.fromkeys(tokens))}
-        shown = [t.encode().decode("latin-1").translate(self.symbols) for t in place]
-        model = self.library.model.tokenize
-        found = [[t.id for t in model(token)] for token in shown]
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        pool = np.fromiter(chain.from_iterable(found), np.int32, int(counts.sum()))
-        which = np.fromiter(map(place.__getitem__, tokens), np.int64, len(tokens))
+        if len(self.place) > self.memory:
+            self.place, self.parts, self.part_counts = {}, np.zeros(0, np.int32), np.zeros(0, np.int64)
+        if new := [t for t in dict.fromkeys(tokens) if t not in self.place]:
+            model = self.library.model.tokenize
+            found = [[t.id for t in model(token.encode().decode("latin-1").translate(self.symbols))] for token in new]
+            counts = np.fromiter(map(len, found), np.int64, len(found))
+            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
+            self.parts = np.append(self.parts, np.fromiter(chain.from_iterable(found), np.int32, int(counts.sum())))
+            self.part_counts = np.append(self.part_counts, counts)
+        which = np.fromiter(map(self.place.__getitem__, tokens), np.int64, len(tokens))
         owner = np.searchsorted(np.cumsum([len(p) for p in pieces]), np.cumsum([len(t) for t in tokens]), side="left")
-        return gather(pool, np.cumsum(counts) - counts, counts, which), np.bincount(owner, counts[which], len(pieces)).astype(np.int64)
+        ids = gather(self.parts, np.cumsum(self.part_counts) - self.part_counts, self.part_counts, which)
+        return ids, np.bincount(owner, self.part_counts[which], len(pieces)).astype(np.int64)
 
     def _learn(self, keys: list[str], texts: set[str]) -> None:
         """Remember keys; those of whole texts or first pieces go to the library whole, as does what Python's tables don't know."""
@@ -148,7 +156,8 @@ class LibraryEncoder:
 
 @lru_cache(maxsize=2)
 def worker_encoder(path: str) -> LibraryEncoder:
-    """One encoder for all tasks of a Python worker."""
+    """One encoder for all tasks of a Python worker. Its memory has no cycles to look for, so the cycle collector rests."""
+    gc.disable()
     return LibraryEncoder(path)
 
 

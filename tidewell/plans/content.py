@@ -9,6 +9,7 @@ from tidewell.functions import dates as D
 from tidewell.functions import text as T
 from tidewell.operators import lifecycle, rules, views
 from tidewell.session import table
+from tidewell.streaming import limits
 
 #: Rule tables in the words of the driver's texts.
 GROUPS = {
@@ -137,6 +138,12 @@ def circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.breaker(events, "user_id", "ts", ["ts", "event_id"], F.col("event_type") == "error", most=3).withColumn("consecutive_failures", F.col("consecutive_failures").cast("long"))
 
 
+def token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of each user's events a bucket of 3, refilled once in six hours, lets pass."""
+    limited = limits.limited(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 3, 1 / 21_600)
+    return limited.groupBy(F.col("key").cast("long").alias("user_id")).agg(F.count_if("ok").alias("n_passed"), F.count_if(~F.col("ok")).alias("n_refused"))
+
+
 def job_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders of two runs as a merged table: how many are old only, new only, in both, and their latest prices."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
@@ -194,7 +201,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         quality_reasons, keyword_scores, topic_top3, gate_reasons, licence_semi, licence_anti, drop_safety, employer_rollup, topn_per_category, facet_any_of, paged_search,
-        lead_selection, vanished_close, ttl_prune, daily_cap, circuit_breaker, job_merge, workflow_step, dubai_day_counts, posted_ago, duplicate_ids, set_operations, meta_counts,
+        lead_selection, vanished_close, ttl_prune, daily_cap, circuit_breaker, token_bucket, job_merge, workflow_step, dubai_day_counts, posted_ago, duplicate_ids, set_operations, meta_counts,
     )
 }
 _STATUSES, _ACTIONS = "['pending','approved','rejected','published','archived']", "['approve','publish','reject','reopen','withdraw','archive']"
