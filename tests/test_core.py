@@ -16,12 +16,17 @@ from tidewell.streaming import limits
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+#: Queries whose page lies past the end of the smallest tables.
+LARGER = {"paged_search"}
+
+
 def normal(value):
     return round(value, 6) if isinstance(value, float) else value
 
 
 @pytest.mark.parametrize("name", sorted(__spark_entry__.catalogue.QUERIES))
 def test_query_against_its_sql(spark, sf, name):
+    sf = sf.replace("0.001", "0.01") if name in LARGER else sf
     df = __spark_entry__.queries()[name](spark, sf)
     got = sorted(repr(tuple(normal(r[c]) for c in sorted(df.columns))) for r in df.collect())
     assert got

@@ -48,7 +48,10 @@ def limited(events: DataFrame, key: str, at: str, id: str, capacity: float, per_
 
 
 def limited_stream(events: DataFrame, key: str, at: str, id: str, capacity: float, per_second: float, idle: str = "1 hour") -> DataFrame:
-    """The same for a stream; a key that is idle for longer than it takes to fill is forgotten."""
+    """The same for a stream. A key without events for `idle` of event time is forgotten; events that come later than that are dropped.
+
+    Choose `idle` no shorter than a bucket takes to fill, so that forgetting a key changes nothing.
+    """
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -64,10 +67,10 @@ def limited_stream(events: DataFrame, key: str, at: str, id: str, capacity: floa
             yield pd.DataFrame({"id": rows["id"], "key": rows["key"], "ok": out})
         if now:
             state.update(now)
-            state.setTimeoutDuration(idle_ms)
+            state.setTimeoutTimestamp(int(now[1] * 1000) + idle_ms)
 
-    read = events.selectExpr(f"cast({id} as long) as id", f"cast({key} as string) as key", f"cast({at} as timestamp) as at")
-    return read.groupBy("key").applyInPandasWithState(fold, "id long, key string, ok boolean", BUCKET_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    read = events.selectExpr(f"cast({id} as long) as id", f"cast({key} as string) as key", f"cast({at} as timestamp) as at").withWatermark("at", idle)
+    return read.groupBy("key").applyInPandasWithState(fold, "id long, key string, ok boolean", BUCKET_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def breaker_stream(outcomes: DataFrame, key: str, at: str, failed: str, gone: str = "false", most: int = 5) -> DataFrame:
