@@ -7,7 +7,7 @@ independent even for short documents. Bins are put together into bands; document
 
 Equal sets are one node from the start (the least doc_id stands for all). Within a bucket, candidates are stars: one hub, the node
 with most company in all its buckets, is compared with the others, on full sets. Hubs that failed with some members leave
-links between those open, so rounds go on, with four times as many hubs a bucket each time (in a bucket of few that
+links between those open, so rounds go on, with GROWTH times as many hubs a bucket each time (in a bucket of few that
 are left, all), between nodes of a bucket that aren't in one component yet and of which neither was a hub; a bucket ends when
 these are in one component. After the first round a bound spares most of them: shingles that no other open node has
 can't be shared, so a pair's intersection is at most the smaller of the two counts of the other shingles. What is compared
@@ -37,6 +37,8 @@ from tidewell.session import materialise
 BINS = 120
 #: Nodes left in a bucket of which all are hubs in the next round.
 FEW = 16
+#: Times as many hubs a bucket in each round as in the one before.
+GROWTH = 16
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 #: Stands for a word that isn't there, in texts shorter than a shingle.
 ABSENT = np.uint64(0x5851F42D4C957F2D)
@@ -185,7 +187,8 @@ def join_buckets(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
         found = materialise(confirmed(pairs, sets, percent), "links")
         compared = pairs if compared is None else compared.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
-        labels = materialise(components(links), "labels")
+        if labels is None or not found.isEmpty():
+            labels = materialise(components(links), "labels")
         rest = left.join(chosen.select("bucket", F.col("hub.id").alias("id")), ["bucket", "id"], "left_anti").drop("many", "label")
         members = rest.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
         if hubs == 1:
@@ -193,7 +196,7 @@ def join_buckets(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
             still = members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket")
             members = bounded(members.join(still, "bucket", "left_semi"), sets, percent)
         members = materialise(members, "members")
-        hubs *= 4
+        hubs *= GROWTH
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: int = 4) -> DataFrame:
