@@ -76,3 +76,41 @@ def test_empty_tables(spark):
     assert decontam.matches(docs, items).count() == 1
     assert decontam.matches(docs.limit(0), items).count() == 0
     assert decontam.matches(docs, items.limit(0)).count() == 0
+
+
+def test_whole_items_are_found_in_any_host(spark, sf):
+    """Planted in hosts of one or two repeated words of the benchmark, and of another language."""
+    items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    foreign = [t for t in (r.text.split() for r in docs.filter("lang <> 'en' and text is not null").collect()) if len(t) > 100]
+    vocabulary = sorted({w for _, text in items for w in decontam.words_of(text)})
+    rnd, planted, want = random.Random(4), [], set()
+    for item, text in items:
+        for host in ([rnd.choice(vocabulary)] * 300, rnd.sample(vocabulary, 2) * 150, rnd.choice(foreign)):
+            at = rnd.randrange(len(host))
+            want.add((10_000 + len(planted), item))
+            planted.append((10_000 + len(planted), " ".join([*host[:at], text, *host[at:]])))
+    got = decontam.matches(docs.drop("lang").unionByName(spark.createDataFrame(planted, "doc_id long, text string")), spark.createDataFrame(items, "item_id long, text string"))
+    assert want <= {(r.doc_id, r.item_id) for r in got.collect()}
+
+
+def test_index_of_rarest_words_against_sets(monkeypatch):
+    rnd = np.random.default_rng(3)
+    texts = [rnd.integers(-1, 40, n).astype(np.int32) for n in (0, 1, 31, 33, 64, 65, 96, 97, 300)]
+    rarest = [set(rnd.choice(40, k, replace=False).tolist()) for k in (1, 2, 3, 4, 5, 5, 5)]
+    p = decontam.Passages([t.tobytes() for t in texts])
+    want = {}
+    for i, (d, at) in enumerate(zip(p.doc, p.at, strict=True)):
+        near = set(texts[d][max(0, at - decontam.STRIDE) : at + decontam.WINDOW + decontam.STRIDE].tolist())
+        for j, r in enumerate(rarest):
+            if len(r & near) >= decontam.ANSWER * len(r):
+                want[i * len(rarest) + j] = r <= near
+    for expanded in (1, 7, 1 << 20):
+        monkeypatch.setattr(decontam, "EXPANDED", expanded)
+        keys, every = decontam.Rarest(rarest, 40).answered(p)
+        assert dict(zip(keys.tolist(), every.tolist(), strict=True)) == want and (np.diff(keys) > 0).all()
+
+
+def test_holds_compares_whole_numbers():
+    assert decontam.holds(np.array([7, 1, 2, 3], np.int32), np.array([2, 3], np.int32))
+    assert not decontam.holds(np.array([1 << 8, 0], np.int32), np.array([1], np.int32))

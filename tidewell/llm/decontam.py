@@ -4,10 +4,13 @@ Documents are cut into passages of WINDOW words, STRIDE apart, to their ends. Pa
 can't speak for a benchmark item). A randomised SVD of the matrix of all passages, A, is computed in tasks: with G a random matrix, each task
 adds its part of A'(A G), a table of words by dimensions; the sum's orthonormal basis spans the leading singular directions. Passages and
 benchmark parts (of up to WINDOW words) are projected on it; passages with a cosine of NEAR * sqrt(words of the part / WINDOW) or more to a part
-are candidates, since a part that fills a share s of a passage has a cosine of about sqrt(s) with it.
+are candidates, since a part that fills a share s of a passage has a cosine of about sqrt(s) with it. A word counts once in each STRIDE words,
+so that a host that repeats a word can't swamp an item.
 
 A candidate's surroundings must hold COVERED of the part's words in order (longest common subsequence) and ANSWER of its rarest words,
-which carry what the item asks for. Candidates are found in tasks against the benchmark, which is one broadcast table; the size of the
+which carry what the item asks for. No cosine is promised in every host (one in another language lies outside the leading directions), so behind
+the retrieval, passages that hold all rarest words of a part are looked up in an index of these; a part that stands there word for word matches
+whatever its cosine. Candidates are found in tasks against the benchmark, which is one broadcast table; the size of the
 benchmark is checked (BENCHMARK_WORDS), a larger one is worked on in blocks of that many words.
 
 Defined results: null and empty texts and items match nothing; items whose words are all unknown can't occur. Rows with one doc_id or item_id are
@@ -33,6 +36,8 @@ RANK = 96
 NEAR, COVERED, ANSWER = 0.5, 0.6, 0.4
 #: Rarest words of a part that its answer check looks for.
 RAREST = 5
+#: (word, part) pairs of the index of rarest words that a task works on at a time, and passages and parts whose cosines it holds.
+EXPANDED, TILE = 1 << 20, 4096
 #: Words of benchmark parts that are broadcast at a time.
 BENCHMARK_WORDS = 2_000_000
 
@@ -78,7 +83,9 @@ class Passages:
         self.words = np.concatenate(each) if each else np.zeros(0, np.int32)
         within = np.arange(len(self.words)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
         self.block = np.repeat(first, self.size) + within // STRIDE
-        self.known = np.flatnonzero(self.words >= 0)
+        known = np.flatnonzero(self.words >= 0)
+        # each word once in a block, in the order of blocks
+        self.known = known[np.unique(self.block[known] << 32 | self.words[known], return_index=True)[1]]
         self.blocks = int(blocks.sum())
         # a passage begins at each block but a document's last one, unless it's the only one
         owner = np.repeat(np.arange(len(each)), blocks)
@@ -86,7 +93,7 @@ class Passages:
         keep = (number < blocks[owner] - 1) | (blocks[owner] == 1)
         self.start, self.doc = np.flatnonzero(keep), owner[keep]
         self.second = np.where(number[self.start] + 1 < blocks[self.doc], self.start + 1, -1)
-        self.at = number[self.start] * STRIDE
+        self.number, self.at = number, number[self.start] * STRIDE
 
     def sums(self, table: np.ndarray) -> np.ndarray:
         """The sum over each passage's words of their rows in a table."""
@@ -107,6 +114,63 @@ class Passages:
         words = self.words[self.known]
         return np.concatenate([pairs[pairs[:, 0] >= 0, 0], pairs[pairs[:, 1] >= 0, 1]]), np.concatenate([words[pairs[:, 0] >= 0], words[pairs[:, 1] >= 0]])
 
+    def surroundings(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Every (passage, word) of wanted words (a mark for each word) within STRIDE words of a passage or in it, once."""
+        known = self.known[wanted[self.words[self.known]]]
+        block, word = self.block[known], self.words[known].astype(np.int64)
+        passage = np.full(self.blocks, -1)
+        passage[self.start] = np.arange(len(self.start))
+        found = []
+        for back in (-1, 0, 1, 2):  # the passage begins so many blocks before the word's
+            at = block - back
+            inside = (at >= 0) & (at < self.blocks)
+            near = passage[at[inside]]
+            same = (near >= 0) & (self.number[block[inside]] - self.number[at[inside]] == back)
+            found.append(near[same] << 32 | word[inside][same])
+        both = np.unique(np.concatenate(found))
+        return both >> 32, both & 0xFFFFFFFF
+
+
+class Rarest:
+    """An index from words to the parts of whose rarest words they are."""
+
+    def __init__(self, rarest: list[set[int]], words: int):
+        pairs = sorted((w, j) for j, r in enumerate(rarest) for w in r)
+        self.parts = np.array([j for _, j in pairs], np.int64)
+        self.ends = np.searchsorted([w for w, _ in pairs], np.arange(words), side="right")
+        self.begins = np.append(0, self.ends[:-1])
+        self.most = np.array([len(r) for r in rarest], np.int64)
+        self.need = np.ceil(ANSWER * self.most - 1e-9).astype(np.int64)
+
+    def answered(self, p: Passages) -> tuple[np.ndarray, np.ndarray]:
+        """Keys (passage * parts + part), in order, of those whose surroundings hold ANSWER of a part's rarest words, and whether they hold all."""
+        passage, word = p.surroundings(self.ends > self.begins)
+        many = self.ends[word] - self.begins[word]
+        ends = np.cumsum(many)
+        keys, every = [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+        at = 0
+        while at < len(passage):  # whole passages, about EXPANDED (word, part) at a time
+            to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + EXPANDED, side="right"))
+            to = int(np.searchsorted(passage, passage[min(max(at, to), len(passage) - 1)], side="right"))
+            n = many[at:to]
+            index = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - self.begins[word[at:to]], n)
+            key, count = np.unique(np.repeat(passage[at:to], n) * len(self.most) + self.parts[index], return_counts=True)
+            part = key % len(self.most)
+            keep = count >= self.need[part]
+            keys.append(key[keep])
+            every.append(count[keep] == self.most[part[keep]])
+            at = to
+        return np.concatenate(keys), np.concatenate(every)
+
+
+def holds(words: np.ndarray, part: np.ndarray) -> bool:
+    """Whether a part stands in words, word for word."""
+    text, wanted = words.tobytes(), part.tobytes()
+    at = text.find(wanted)
+    while at >= 0 and at % part.itemsize:
+        at = text.find(wanted, at + 1)
+    return at >= 0
+
 
 def document_frequencies(encoded: DataFrame, size: int) -> tuple[np.ndarray, int]:
     """In how many passages each word is, and the number of passages."""
@@ -204,10 +268,10 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     numbers = [np.array([vocabulary[w] for w in p], np.int32) for _, p in parts]
     rarest = [set(sorted(set(n.tolist()), key=lambda w: (-weights[w], w))[:RAREST]) for n in numbers]
     table = (basis * weights[:, None]).astype(np.float32)
-    latent = np.stack([table[n].sum(0) for n in numbers])
+    latent = np.stack([sum(table[np.unique(n[i : i + STRIDE])].sum(0) for i in range(0, len(n), STRIDE)) for n in numbers])
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
     near = NEAR * np.sqrt(np.minimum(1, np.array([len(n) for n in numbers]) / WINDOW))
-    shipped = spark.sparkContext.broadcast((table, latent, near.astype(np.float32), ids, numbers, rarest))
+    shipped = spark.sparkContext.broadcast((table, latent, near.astype(np.float32), ids, numbers, Rarest(rarest, len(vocabulary))))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         table, latent, near, ids, numbers, rarest = shipped.value
@@ -217,17 +281,23 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             p = Passages(texts)
             x = p.sums(table)
             x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+            answered, every = rarest.answered(p)
+            retrieved = np.zeros(len(answered), bool)
+            for lo in range(0, len(x), TILE):
+                for first in range(0, len(latent), TILE):
+                    i, j = np.nonzero(x[lo : lo + TILE] @ latent[first : first + TILE].T >= near[first : first + TILE])
+                    retrieved |= np.isin(answered, (i + lo) * len(latent) + j + first, assume_unique=True)
             out = []
-            for lo in range(0, len(x), 4096):
-                cosines = x[lo : lo + 4096] @ latent.T
-                for i, j in zip(*(v.tolist() for v in np.nonzero(cosines >= near)), strict=True):
-                    start = int(p.at[lo + i])
-                    words = np.frombuffer(texts[p.doc[lo + i]], np.int32)[max(0, start - STRIDE) : start + WINDOW + STRIDE]
-                    if len(rarest[j].intersection(words.tolist())) < ANSWER * len(rarest[j]):
-                        continue
+            for key, candidate in zip(answered[retrieved | every].tolist(), retrieved[retrieved | every].tolist(), strict=True):
+                i, j = divmod(key, len(latent))
+                start = int(p.at[i])
+                words = np.frombuffer(texts[p.doc[i]], np.int32)[max(0, start - STRIDE) : start + WINDOW + STRIDE]
+                if candidate:
                     covered = common_subsequence(numbers[j], words) / len(numbers[j])
-                    if covered >= COVERED:
-                        out.append((doc_ids[p.doc[lo + i]], int(ids[j]), float(cosines[i, j]), covered, start))
+                else:
+                    covered = float(holds(words, numbers[j]))
+                if covered >= COVERED:
+                    out.append((doc_ids[p.doc[i]], int(ids[j]), float(x[i] @ latent[j]), covered, start))
             columns = list(zip(*out, strict=True)) if out else [[]] * 5
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()), strict=True)], ["doc_id", "item_id", "similarity", "covered", "at"])
 
