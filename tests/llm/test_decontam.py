@@ -114,3 +114,22 @@ def test_index_of_rarest_words_against_sets(monkeypatch):
 def test_holds_compares_whole_numbers():
     assert decontam.holds(np.array([7, 1, 2, 3], np.int32), np.array([2, 3], np.int32))
     assert not decontam.holds(np.array([1 << 8, 0], np.int32), np.array([1], np.int32))
+
+
+def test_a_larger_benchmark_is_searched_for_in_blocks(spark, sf, monkeypatch):
+    docs, items = spark.read.parquet(f"{sf}/documents.parquet").limit(60), spark.read.parquet(f"{sf}/benchmark.parquet")
+    first = items.orderBy("item_id").first()
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(10_000, first.text)], "doc_id long, text string"))
+    parts = decontam.benchmark_parts(items)
+    total = parts.agg({"words": "sum"}).first()[0]
+    columns = ("doc_id", "item_id", "covered")
+    whole = {tuple(r) for r in decontam.matches(docs, items).select(*columns).collect() if r.covered == 1}
+    assert (10_000, first.item_id, 1.0) in whole
+    monkeypatch.setattr(decontam, "BENCHMARK_WORDS", total * 2 // 3)
+    blocks = decontam.in_blocks(parts, total).groupBy("block").agg({"words": "sum", "*": "count"}).collect()
+    assert len(blocks) > 1 and all(r["sum(words)"] <= decontam.BENCHMARK_WORDS for r in blocks)
+    assert sum(r["count(1)"] for r in blocks) == parts.count()
+    assert whole <= {tuple(r) for r in decontam.matches(docs, items).select(*columns).collect()}
+    monkeypatch.setattr(decontam, "TILE", 7)  # cosines are worked on by passages and parts
+    monkeypatch.setattr(decontam, "BENCHMARK_WORDS", total)
+    assert whole <= {tuple(r) for r in decontam.matches(docs, items).select(*columns).collect()}

@@ -10,8 +10,9 @@ so that a host that repeats a word can't swamp an item.
 A candidate's surroundings must hold COVERED of the part's words in order (longest common subsequence) and ANSWER of its rarest words,
 which carry what the item asks for. No cosine is promised in every host (one in another language lies outside the leading directions), so behind
 the retrieval, passages that hold all rarest words of a part are looked up in an index of these; a part that stands there word for word matches
-whatever its cosine. Candidates are found in tasks against the benchmark, which is one broadcast table; the size of the
-benchmark is checked (BENCHMARK_WORDS), a larger one is worked on in blocks of that many words.
+whatever its cosine. Candidates are found in tasks against the benchmark, which is one broadcast table. A benchmark whose
+parts have more than BENCHMARK_WORDS words is dealt by Spark into blocks of at most that many (parts of an item may be in several), each of which is
+searched for in all documents.
 
 Defined results: null and empty texts and items match nothing; items whose words are all unknown can't occur. Rows with one doc_id or item_id are
 one document or item to the result, which has a row for each pair that matches.
@@ -24,7 +25,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm.textbatch import over_slices
@@ -38,7 +39,7 @@ NEAR, COVERED, ANSWER = 0.5, 0.6, 0.4
 RAREST = 5
 #: (word, part) pairs of the index of rarest words that a task works on at a time, and passages and parts whose cosines it holds.
 EXPANDED, TILE = 1 << 20, 4096
-#: Words of benchmark parts that are broadcast at a time.
+#: Words of benchmark parts that are collected and broadcast at a time.
 BENCHMARK_WORDS = 2_000_000
 
 WORD = re.compile(r"[^\W_]+")
@@ -247,20 +248,58 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - row.bit_count()
 
 
+def benchmark_parts(benchmark: DataFrame) -> DataFrame:
+    """item_id, part (its number in the row), text (the part's words, with blanks) and words of every part of every item."""
+
+    def make():
+        def step(part: pa.RecordBatch) -> pa.RecordBatch:
+            rows = [(i, k, " ".join(p), len(p)) for i, t in zip(*(c.to_pylist() for c in part.columns), strict=True) for k, p in enumerate(parts_of(words_of(t)))]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+            return pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.int64()), strict=True)], ["item_id", "part", "text", "words"])
+
+        return step
+
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null")
+    return over_slices(items, "text", make, "item_id long, part long, text string, words long")
+
+
+def in_blocks(parts: DataFrame, total: int) -> DataFrame:
+    """parts with `block`, each of at most BENCHMARK_WORDS words (or one part): dealt by hash into about half of that, cut where a share is larger."""
+    shares = -(-2 * total // BENCHMARK_WORDS)
+    dealt = parts.withColumn("_share", F.pmod(F.xxhash64("item_id", "part", "text"), F.lit(shares)))
+    w = Window.partitionBy("_share").orderBy("item_id", "part", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    room = max(1, BENCHMARK_WORDS - WINDOW)  # a part that begins within the room ends within the block
+    return dealt.withColumn("block", F.struct("_share", F.floor((F.sum("words").over(w) - F.col("words")) / room).alias("cut"))).drop("_share")
+
+
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, similarity (cosine of the best passage), covered (share of a part's words in order), at (first word of that passage)."""
+    parts = materialise(benchmark_parts(benchmark), "parts")
+    size = parts.agg(F.count("*").alias("n"), F.coalesce(F.sum("words"), F.lit(0)).alias("words")).first()
+    if size.words <= BENCHMARK_WORDS:
+        found = block_matches(docs, parts, size.n)
+    else:
+        blocked = materialise(in_blocks(parts, size.words), "blocks")
+        found = None
+        for row in sorted(tuple(r.block) for r in blocked.select("block").distinct().collect()):
+            own = blocked.filter((F.col("block._share") == row[0]) & (F.col("block.cut") == row[1]))
+            part = materialise(block_matches(docs, own, size.n), "found")
+            found = part if found is None else found.unionByName(part)
+    best = F.max(F.struct("covered", "similarity", (-F.col("at")).alias("at"))).alias("best")
+    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.similarity", "best.covered", (-F.col("best.at")).alias("at"))
+
+
+def block_matches(docs: DataFrame, block: DataFrame, n_parts: int) -> DataFrame:
+    """The columns of matches for every passage that matches a part of one block of a benchmark of so many parts."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null").toArrow().to_pylist()
-    parts = [(r["item_id"], p) for r in items for p in parts_of(words_of(r["text"]))]
+    parts = [(r["item_id"], r["text"].split(" ")) for r in block.select("item_id", "text").toArrow().to_pylist()]
     result = "doc_id long, item_id long, similarity double, covered double, at long"
-    if sum(len(p) for _, p in parts) > BENCHMARK_WORDS:
-        raise ValueError("pass the benchmark in blocks of fewer words")
     vocabulary = {w: i for i, w in enumerate(sorted({w for _, p in parts for w in p}))}
     if not vocabulary:
         return spark.createDataFrame([], result)
     encoded = materialise(encode(docs, vocabulary), "words")
     df, passages = document_frequencies(encoded, len(vocabulary))
-    weights = np.log((passages + len(parts) + 1) / (df + 1)) + 1e-3
+    weights = np.log((passages + n_parts + 1) / (df + 1)) + 1e-3
     basis = latent_basis(encoded, weights, min(RANK, len(vocabulary)))
     if not basis.shape[1]:
         return spark.createDataFrame([], result)
@@ -301,6 +340,4 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             columns = list(zip(*out, strict=True)) if out else [[]] * 5
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()), strict=True)], ["doc_id", "item_id", "similarity", "covered", "at"])
 
-    found = encoded.filter("doc_id is not null").mapInArrow(run, result)
-    best = F.max(F.struct("covered", "similarity", (-F.col("at")).alias("at"))).alias("best")
-    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.similarity", "best.covered", (-F.col("best.at")).alias("at"))
+    return encoded.filter("doc_id is not null").mapInArrow(run, result)
