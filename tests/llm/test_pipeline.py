@@ -1,5 +1,6 @@
 import corpus_pipeline
 from tests.llm.test_minhash import brute
+from tidewell.llm import minhash
 
 
 def test_stages_on_each_others_results(spark, tmp_path):
@@ -20,3 +21,40 @@ def test_stages_on_each_others_results(spark, tmp_path):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     kept = spark.read.parquet(f"{tmp_path}/quality").join(labels, "doc_id")
     assert kept.filter("quality = 1").count() >= 0.9 * labels.filter("quality = 1").count()
+
+
+def test_missing_and_repeated_ids_through_all_stages(spark, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").first().text
+    passed = corpus_pipeline.STAGES[0][1](spark, docs, sf)
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        passed = stage(spark, passed, sf)
+    groups = minhash.near_duplicates(docs, 5, 80, 4).groupBy("component_id").count().filter("count = 1")
+    alone = passed.join(groups, passed.doc_id == groups.component_id, "left_semi")  # no near copies of them are left behind
+    a, b, c, d, e, f = [r.asDict() for r in alone.filter("length(text) > 500").orderBy("doc_id").limit(6).collect()]
+    leak = lambda r: r["text"] + " " + item
+    extra = [
+        {**b, "doc_id": a["doc_id"]},  # another text under a's id
+        {**c, "doc_id": None}, {**c, "doc_id": None},  # copies, none with an id
+        {**d, "doc_id": None, "text": d["text"]},  # a copy of d
+        {**e, "doc_id": None, "text": leak(e)},
+        {**a, "doc_id": f["doc_id"], "text": leak(b)},
+    ]
+    gone = [b["doc_id"], c["doc_id"], e["doc_id"]]
+    rows = docs.filter(~docs.doc_id.isin(gone)).unionByName(spark.createDataFrame(extra, docs.schema))
+    marked = {(r["doc_id"], r["text"]) for r in extra} | {(r["doc_id"], r["text"]) for r in (a, d, f)}
+    found = {}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, rows, sf).write.parquet(f"{tmp_path}/{name}")
+        rows = spark.read.parquet(f"{tmp_path}/{name}")
+        found[name] = sorted([(r.doc_id, r.text) for r in rows.collect() if (r.doc_id, r.text) in marked], key=str) if name != "tokenise" else rows.count()
+        if name == "decontaminate":
+            left = rows.count()
+    everything = sorted([*((r["doc_id"], r["text"]) for r in extra), *((r["doc_id"], r["text"]) for r in (a, d, f))], key=str)
+    assert found["language"] == found["quality"] == everything
+    clean = [(a["doc_id"], a["text"]), (a["doc_id"], b["text"]), (None, c["text"]), (d["doc_id"], d["text"]), (f["doc_id"], f["text"])]
+    assert set(clean) <= set(found["deduplicate"]) and len(found["deduplicate"]) == len(set(found["deduplicate"]))
+    assert (None, d["text"]) not in found["deduplicate"]
+    assert found["decontaminate"] == sorted(clean, key=str)
+    assert found["tokenise"] == left
