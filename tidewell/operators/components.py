@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.session import materialise
+from tidewell.session import discard, materialise
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
@@ -36,6 +36,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a <> b").distinct()
     edges = materialise(edges, "edges")
     while not _is_stars(edges):
-        edges = materialise(_star(_star(edges, small=False), small=True), "edges")
+        before, edges = edges, materialise(_star(_star(edges, small=False), small=True), "edges")
+        discard(before)
     # now every edge leads from a node straight to its component's least
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

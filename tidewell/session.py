@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,11 +55,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder all executors see: spark.checkpoint.dir. Only a session in one process may do without: it gets a temporary folder."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="tidewell-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -84,4 +88,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[out] = path
+    return out
+
+
+#: Where the frames lie that materialise has written.
+_written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what materialise wrote for these frames; nothing that reads them may run afterwards. Other frames are left alone."""
+    for df in frames:
+        if path := _written.pop(df, None):
+            delete(df.sparkSession, path.rpartition("/")[0])
