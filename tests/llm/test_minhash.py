@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from tidewell.llm import minhash
-from tidewell.llm.components import components
+from tidewell.operators.components import components
 
 
 def brute(rows, words, percent):
@@ -56,9 +56,10 @@ def test_components_are_those_of_all_pairs(spark, words, percent, rows):
 
 def test_repeated_rows_and_missing_ids(spark):
     text = "the same words " * 9
-    docs = spark.createDataFrame([(5, text), (5, text), (3, text + "x"), (None, text), (9, text)], "doc_id long, text string")
+    docs = spark.createDataFrame([(5, text), (5, text), (3, text + "x"), (None, text), (9, text), (5, "quite other words"), (None, "alone"), (None, None)], "doc_id long, text string")
     got = sorted(minhash.near_duplicates(docs, 3, 60, 4).select("doc_id", "component_id", "kept").collect(), key=str)
-    assert [tuple(r) for r in got] == [(3, 3, True), (5, 3, False), (5, 3, False), (9, 3, False), (None, 3, False)]
+    want = [(3, 3, True), (5, 3, False), (5, 3, False), (5, 5, True), (9, 3, False), (None, 3, False), (None, None, True), (None, None, True)]
+    assert [tuple(r) for r in got] == sorted(want, key=lambda r: str(r).replace("(", "Row("))
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
@@ -79,14 +80,23 @@ def test_components_of_a_path_and_a_star(spark):
     assert got == {**{i: 100 for i in range(100, 141)}, **{i: 1 for i in range(1, 60)}}
 
 
-def test_a_group_of_copies_with_few_and_many_edits(spark):
+@pytest.mark.parametrize("few", [(2, 2), (4, 64)])
+def test_a_group_of_copies_with_few_and_many_edits(spark, monkeypatch, few):
+    """Versions of one text, each with copies of its own, some edits being shared: whatever the sizes at which pairs take the place of stars."""
+    monkeypatch.setattr(minhash, "FEW_AT_FIRST", few[0])
+    monkeypatch.setattr(minhash, "FEW", few[1])
     rnd = random.Random(8)
-    base = [f"w{i}" for i in range(60)]
+    base, versions = [f"w{i}" for i in range(60)], []
+    for _ in range(6):
+        text = list(versions[-1] if versions and rnd.random() < 0.5 else base)
+        for _ in range(rnd.choice([0, 2, 4])):
+            text[rnd.randrange(60)] = f"v{rnd.randrange(4)}"
+        versions.append(text)
     rows = []
     for i in range(150):
-        text = list(base)
+        text = list(rnd.choice(versions))
         for _ in range(rnd.choice([0, 1, 1, 2, 3, 6, 10])):
-            text[rnd.randrange(60)] = f"x{rnd.random()}"
+            text[rnd.randrange(60)] = rnd.choice([f"x{rnd.random()}", f"y{rnd.randrange(3)}"])
         rows.append((i, " ".join(text)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs, 3, 85, 5).collect()}

@@ -5,18 +5,22 @@ into one of BINS bins and is its value there; a bin's value is the least of them
 bin that isn't empty, found by a sequence of bins that depends on the empty bin's number alone, which keeps bins
 independent even for short documents. Bins are put together into bands; documents that agree in a band share a bucket.
 
-Equal sets are one node from the start (the least doc_id stands for all). Within a bucket, candidates are stars: one hub, the node
-with most company in all its buckets, is compared with the others, on full sets. Hubs that failed with some members leave
-links between those open, so rounds go on, with GROWTH times as many hubs a bucket each time (in a bucket of few that
-are left, all), between nodes of a bucket that aren't in one component yet and of which neither was a hub; a bucket ends when
-these are in one component. After the first round a bound spares most of them: shingles that no other open node has
-can't be shared, so a pair's intersection is at most the smaller of the two counts of the other shingles. What is compared
-is the members times a few hubs where a bucket's documents belong together, and no pair that shares a bucket stays
-unexamined where it could be a link that joins two components.
-
-Defined results: null and empty texts, and texts without words, have the empty set and are linked with nothing; rows with
-one doc_id are one node; a row without doc_id shares the component of its exact copies that have one, and is kept if it
-has none. An empty table gives an empty table.
+Equal sets are one node from the start (the least doc_id stands for all). Candidates within a bucket are stars: its hub, the
+node with most company in all its buckets, is compared with the others, on full sets. Nodes that are linked with
+their hub need no more. Where nodes of a bucket aren't in one component yet, the rest is found exactly, without all pairs:
+
+- Linked pairs share differences from their hub. With D(x) the shingles that only one of x and hub h has, a pair is linked if and only if
+  (100 + percent) * |D(x) ^ D(y)| <= (100 - percent) * (|x| + |y|), as x ^ y = D(x) ^ D(y). So |D(x) & D(y)| is half of
+  A(x) + A(y) at least, where A(x) = |D(x)| - (100 - percent) / (100 + percent) * |x|, and that is above 0 whenever x or y isn't linked with h.
+- So such pairs meet in one of their rarest shared differences: a node's differences that no other node of the hub has are put
+  aside, the others ordered by how many nodes have them, and the node goes into the groups of the first of them, as many as are left over
+  when the least overlap with any partner is taken away.
+- Groups of FEW nodes or fewer are compared as pairs, if the places of the shared difference leave room for the overlap. Larger groups are
+  stars again, around a hub of their own, and so on; each round takes its hubs out, so rounds end.
+
+Defined results: null and empty texts, and texts without words, have the empty set and are linked with nothing. Each row is a
+document of its own by its text, whatever its doc_id; equal rows are exact copies of each other. component_id is the least doc_id of the rows that
+links reach; rows without a doc_id come after all others, and a component of such rows alone has none. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -29,16 +33,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.components import components
-from tidewell.llm.textbatch import over_slices
-from tidewell.session import materialise
+from tidewell.llm.textbatch import numbered, over_slices
+from tidewell.operators.components import components
+from tidewell.session import discard, materialise
 
 #: Bins of the permutation. With bands of 5 rows a pair at 0.85 is missed about once in a million, with 4 at 0.8 once in seven million.
 BINS = 120
-#: Nodes left in a bucket of which all are hubs in the next round.
-FEW = 16
-#: Times as many hubs a bucket in each round as in the one before.
-GROWTH = 16
+#: Nodes of a bucket, and of a group of nodes with one difference from their hub, up to which all pairs are compared.
+FEW_AT_FIRST, FEW = 4, 64
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 #: Stands for a word that isn't there, in texts shorter than a shingle.
 ABSENT = np.uint64(0x5851F42D4C957F2D)
@@ -143,76 +145,117 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("_x"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("_y"))
     both = F.size(F.array_intersect("_x", "_y"))
-    return pairs.join(right, "b").join(left, "a").filter(100 * both >= percent * (F.size("_x") + F.size("_y") - both)).select("a", "b").distinct()
-
-
-def possible(n: Column, shared: Column, other_n: Column, other_shared: Column, percent: int) -> Column:
-    """Whether sets of n and other_n shingles, of which shared and other_shared may be in another set at all, can be linked."""
-    most = F.least(shared, other_shared)
-    return 100 * most >= percent * (n + other_n - most)
-
-
-def bounded(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """left (bucket, id, ...) with n and shared of each node's set, without nodes that can be linked with none of their bucket."""
-    own = sets.join(left.select("id").distinct(), "id", "left_semi")
-    lone = own.select("id", F.explode("shingles").alias("_s")).groupBy("_s").agg(F.count("*").alias("_n"), F.min("id").alias("id")).filter("_n = 1").groupBy("id").agg(F.count("*").alias("_lone"))
-    sizes = own.select("id", F.size("shingles").cast("long").alias("n")).join(lone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("_lone", F.lit(0))).alias("shared"))
-    sized = materialise(left.join(sizes, "id"), "sized")
-    least = sized.groupBy("bucket").agg(F.min("n").alias("_least"))
-    # the other set has at least what is shared, and as many as the bucket's smallest
-    other = F.greatest("shared", "_least")
-    return sized.join(least, "bucket").filter(possible(F.col("n"), F.col("shared"), other, other, percent)).drop("_least")
-
-
-def join_buckets(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    return pairs.join(right, "b").join(left, "a").filter(100 * both >= percent * (F.size("_x") + F.size("_y") - both)).select("a", "b")
+
+
+def overlap(one: Column, other: Column, percent: int) -> Column:
+    """How many differences from their hub two nodes with these A must share to be linked, A being in units of 1 / (100 + percent)."""
+    return F.greatest(F.lit(1), F.ceil((one + other) / (2 * (100 + percent))))
+
+
+def fits(x: str, y: str, percent: int) -> Column:
+    """Whether nodes x and y of one group can be linked: one isn't linked with the hub, and behind the group's difference (the pos-th of s) enough may be shared."""
+    room = 1 + F.least(F.col(f"{x}.s") - F.col(f"{x}.pos"), F.col(f"{y}.s") - F.col(f"{y}.pos"))
+    return (F.col(f"{x}.apart") | F.col(f"{y}.apart")) & (room >= overlap(F.col(f"{x}.A"), F.col(f"{y}.A"), percent))
+
+
+def candidates(groups: DataFrame, few: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) to compare in groups (root, g, many, node), and stars (root, hub, node) of the groups of more than few nodes."""
+    small, large = groups.filter(F.col("many") <= few), groups.filter(F.col("many") > few)
+    hubs = large.groupBy("g").agg(F.max("node").alias("hub"))
+    stars = large.join(hubs, "g").filter("hub.id <> node.id").select("root", "hub", "node")
+    pairs = small.select("g", F.col("node").alias("hub")).join(small.select("g", "node"), "g").filter("hub.id < node.id").select("hub", "node")
+    both = stars.select("hub", "node").unionByName(pairs).filter((F.col("hub.label") != F.col("node.label")) & fits("hub", "node", percent))
+    ids = both.groupBy(F.least("hub.id", "node.id").alias("a"), F.greatest("hub.id", "node.id").alias("b")).agg(F.lit(1).alias("_")).drop("_")
+    return ids, stars
+
+
+def by_differences(stars: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Groups (root, g, node) of the nodes of stars that aren't one component, by the rarest differences from their hub."""
+    named = stars.select(F.xxhash64("root", "hub.id").alias("root"), F.col("hub.id").alias("hub"), F.col("node.id").alias("id"), F.col("node.company").alias("company")).distinct()
+    named = named.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+    open_ = named.groupBy("root").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo <> _hi").select("root")
+    own = named.join(open_, "root", "left_semi").join(sets, "id")
+    both = own.join(sets.select(F.col("id").alias("hub"), F.col("shingles").alias("_hub")), "hub")
+    differ = F.concat(F.array_except("shingles", "_hub"), F.transform(F.array_except("_hub", "shingles"), F.bitwise_not)).alias("differ")
+    both = both.select("root", "id", "company", "label", F.size("shingles").alias("n"), F.size("_hub").alias("_n"), differ)
+    a = (100 + percent) * F.size("differ") - (100 - percent) * F.col("n")
+    apart = (100 + percent) * F.size("differ") > (100 - percent) * (F.col("n") + F.col("_n"))
+    nodes = materialise(both.select("root", "id", "company", "label", a.cast("long").alias("A"), apart.alias("apart"), "differ"), "differences")
+    least = nodes.groupBy("root").agg(F.min("A").alias("_all"), F.min(F.when(F.col("apart"), F.col("A"))).alias("_apart")).filter("_apart is not null")
+    each = nodes.select("root", "id", "company", "label", "A", "apart", F.explode("differ").alias("_d")).withColumn("g", F.xxhash64("root", "_d")).drop("_d")
+    often = each.groupBy("g").agg(F.count("*").alias("_many")).filter("_many > 1")
+    # a node's differences with other nodes: no more than its and its hub's shingles
+    ordered = each.join(often, "g").groupBy("root", "id", "company", "label", "A", "apart").agg(F.sort_array(F.collect_list(F.struct("_many", "g"))).alias("order"))
+    ordered = ordered.join(least, "root").withColumn("s", F.size("order"))
+    first = F.col("s") - overlap(F.col("A"), F.when(F.col("apart"), F.col("_all")).otherwise(F.col("_apart")), percent) + 1
+    placed = ordered.withColumn("_first", first.cast("int")).filter("_first > 0").select("*", F.posexplode(F.slice("order", F.lit(1), F.col("_first"))).alias("_at", "_g"))
+    node = F.struct("company", "id", "label", "A", "apart", "s", (F.col("_at") + 1).alias("pos"))
+    out = materialise(placed.select("root", F.col("_g.g").alias("g"), node.alias("node")), "groups")
+    discard(nodes)
+    return out
+
+
+def link(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Labels (id, component) of nodes that links between nodes of one bucket connect; nodes without links may be missing.
 
-    members: (bucket, id, company), of buckets with two ids or more, company being the same in all rows of an id.
+    members: (bucket, id, company), company being the same in all rows of an id.
     """
-    members = members.withColumn("label", F.col("id"))
-    links, compared, labels, hubs = None, None, None, 1
+    # at first nothing is known of differences: as if each node were apart from a hub with which it shares whatever it may
+    node = F.struct("company", "id", F.col("id").alias("label"), F.lit(0).cast("long").alias("A"), F.lit(True).alias("apart"), F.lit(1).alias("s"), F.lit(1).alias("pos"))
+    groups, few = members.select(F.lit(0).cast("long").alias("root"), F.col("bucket").alias("g"), node.alias("node")), FEW_AT_FIRST
+    labels = None
     while True:
-        open_buckets = members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("many")).filter("lo <> hi").select("bucket", "many")
-        left = materialise(members.join(open_buckets, "bucket"), "open")
-        if hubs > 1 and left.isEmpty():
+        mixed = groups.groupBy("g").agg(F.count("*").alias("many"), F.min("node.label").alias("_lo"), F.max("node.label").alias("_hi"), F.bool_or("node.apart").alias("_apart"))
+        open_ = groups.join(mixed.filter("_lo <> _hi and _apart").select("g", "many"), "g")
+        open_ = materialise(open_, "open")
+        if labels is not None and open_.isEmpty():
+            discard(open_)
             return labels
-        slot = F.lit(0) if hubs == 1 else F.when(F.col("many") <= FEW, F.col("id")).otherwise(F.pmod(F.xxhash64("id"), F.lit(hubs)))
-        fields = ["id", "label", *(["n", "shared"] if hubs > 1 else [])]
-        chosen = left.groupBy("bucket", slot.alias("_slot")).agg(F.max(F.struct("company", *fields)).alias("hub")).select("bucket", "hub")
-        fit = F.col("hub.label") != F.col("label")
-        if hubs > 1:
-            fit = fit & possible(F.col("n"), F.col("shared"), F.col("hub.n"), F.col("hub.shared"), percent)
-        pairs = left.join(chosen, "bucket").filter(fit).groupBy(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).agg(F.lit(1).alias("_")).drop("_")
-        pairs = materialise(pairs if compared is None else pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
+        ids, stars = candidates(open_, few, percent)
+        pairs = materialise(ids, "pairs")
         found = materialise(confirmed(pairs, sets, percent), "links")
-        compared = pairs if compared is None else compared.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        if labels is None or not found.isEmpty():
-            labels = materialise(components(links), "labels")
-        rest = left.join(chosen.select("bucket", F.col("hub.id").alias("id")), ["bucket", "id"], "left_anti").drop("many", "label")
-        members = rest.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-        if hubs == 1:
-            members = materialise(members, "rest")
-            still = members.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket")
-            members = bounded(members.join(still, "bucket", "left_semi"), sets, percent)
-        members = materialise(members, "members")
-        hubs *= GROWTH
+        if labels is None:
+            labels = materialise(components(found), "labels")
+        elif not found.isEmpty():
+            of = lambda end, name: labels.select(F.col("id").alias(end), F.col("component").alias(name))  # noqa: B023, E731
+            ends = found.join(of("a", "_a"), "a", "left").join(of("b", "_b"), "b", "left")
+            moved = materialise(components(ends.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))), "moved")
+            of_labels = labels.join(moved.select(F.col("id").alias("component"), F.col("component").alias("_to")), "component", "left")
+            joined = of_labels.select("id", F.coalesce("_to", "component").alias("component"))
+            # nodes whose first link this is
+            before, labels = labels, materialise(joined.unionByName(moved.join(labels, "id", "left_anti").select("id", "component")), "labels")
+            discard(before, moved)
+        last, groups, few = groups, by_differences(stars, labels, sets, percent), FEW
+        discard(open_, pairs, found, last)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id that links reach), kept (whether that is the document itself)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows_, plain = numbered(docs)
+    found = of_rows(rows_.select(F.col("_row").alias("doc_id"), "text"), words, percent, rows)
+    if not plain:
+        own = rows_.select("_row", F.col("doc_id").alias("_id"))
+        found = found.join(own.withColumnRenamed("_row", "doc_id"), "doc_id").drop("doc_id").withColumnRenamed("_id", "doc_id")
+        found = found.join(own.withColumnRenamed("_row", "component_id"), "component_id").drop("component_id").withColumnRenamed("_id", "component_id")
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def of_rows(docs: DataFrame, words: int, percent: int, rows: int) -> DataFrame:
+    """doc_id, n_shingles, component_id of documents that each have a doc_id of their own."""
     found = materialise(sketches(docs, words, rows), "sketches")
-    known = found.filter("digest is not null and doc_id is not null")
-    nodes = known.groupBy("digest").agg(F.min("doc_id").alias("id"), F.min_by("bands", "doc_id").alias("bands"))
-    nodes = materialise(nodes, "nodes")
-    rows_of = nodes.select("id", F.explode("bands").alias("bucket"))
-    shared = rows_of.groupBy("bucket").agg(F.count("*").alias("_many"), F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("bucket", "_many")
-    met = materialise(rows_of.join(shared, "bucket").select("bucket", "id", "_many"), "met")
-    members = materialise(met.join(met.groupBy("id").agg(F.sum("_many").alias("company")), "id").select("bucket", "id", "company"), "buckets")
+    nodes = materialise(found.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id")), "nodes")
+    banded = found.join(nodes, ["digest", "doc_id"], "left_semi").select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket"))
+    shared = banded.groupBy("bucket").agg(F.count("*").alias("_many")).filter("_many > 1")
+    met = materialise(banded.join(shared, "bucket").select("bucket", "id", "_many"), "met")
+    members = materialise(met.join(met.groupBy("id").agg(F.sum("_many").alias("company")), "id").select("bucket", "id", "company"), "members")
     active = members.select(F.col("id").alias("doc_id")).distinct()
-    sets = materialise(full_sets(docs.select(F.col("doc_id").cast("long"), "text").join(active, "doc_id", "left_semi"), words), "sets")
-    labels = join_buckets(members, sets, percent)
-    of_digest = nodes.select("digest", "id").join(labels, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
-    out = found.join(of_digest, "digest", "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    sets = materialise(full_sets(docs.join(active, "doc_id", "left_semi"), words), "sets")
+    discard(met)
+    labels = link(members, sets, percent)
+    discard(members, sets)
+    named = nodes.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("digest", F.coalesce("component", "doc_id").alias("component_id"))
+    # documents without words share the null digest, which joins with nothing: they stay where they are
+    some = found.filter("digest is not null").select("doc_id", "n_shingles", "digest").join(named, "digest").drop("digest")
+    return some.unionByName(found.filter("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))

@@ -8,6 +8,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidewell.session import materialise
 
 #: Bytes of text that are worked on at once; one longer text is worked on alone.
 SLICE_BYTES = 2 << 20
@@ -38,3 +41,14 @@ def over_slices(df: DataFrame, column: str, make: Callable[[], Callable[[pa.Reco
                 yield step(part)
 
     return df.mapInArrow(run, schema)
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """docs with `_row`, a number of each row in order of doc_id (none last), then text; and whether that is doc_id itself, which no row lacks or shares then.
+
+    Of rows that agree in both, either may come first.
+    """
+    if docs.groupBy("doc_id").agg(F.count("*").alias("_many")).filter("doc_id is null or _many > 1").isEmpty():
+        return docs.withColumn("_row", F.col("doc_id").cast("long")), True
+    ordered = docs.orderBy(F.col("doc_id").asc_nulls_last(), "text")
+    return materialise(ordered.withColumn("_row", F.monotonically_increasing_id()), "numbered"), False
