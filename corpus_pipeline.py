@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm import bpe, bytecnn, decontam, langid, minhash
+from tidewell.llm.textbatch import numbered
 from tidewell.session import materialise, ship, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -27,14 +28,6 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bytecnn.score(docs, net).filter("predicted = 1").select(*docs.columns)
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """docs with `_row`, a number of each row in order of doc_id (none last), then text: doc_id itself if no row lacks it or shares it."""
-    if docs.groupBy("doc_id").count().filter("doc_id is null or count > 1").isEmpty():
-        return docs.withColumn("_row", F.col("doc_id").cast("long"))
-    ordered = docs.orderBy(F.col("doc_id").asc_nulls_last(), "text", *[c for c in docs.columns if c not in ("doc_id", "text")])
-    return materialise(ordered.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-
-
 def as_documents(rows: DataFrame) -> DataFrame:
     """Numbered rows for operators that know documents by doc_id: each row is one document."""
     return rows.select(F.col("_row").alias("doc_id"), "text")
@@ -46,7 +39,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are decided on one by one: those with one doc_id, or none, stay if they are no near duplicates of each other.
     """
     ship(spark)
-    rows = numbered(docs)
+    rows, _ = numbered(docs)
     kept = minhash.near_duplicates(as_documents(rows), words=5, percent=80, rows=4).filter("kept").select(F.col("doc_id").alias("_row"))
     return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
@@ -54,7 +47,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold no benchmark item, with or without a doc_id of their own."""
     ship(spark)
-    rows = numbered(docs)
+    rows, _ = numbered(docs)
     leaks = decontam.matches(as_documents(rows), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_row")).distinct()
     return rows.join(leaks, "_row", "left_anti").select(*docs.columns)
 
