@@ -80,11 +80,10 @@ def test_components_of_a_path_and_a_star(spark):
     assert got == {**{i: 100 for i in range(100, 141)}, **{i: 1 for i in range(1, 60)}}
 
 
-@pytest.mark.parametrize("few", [(2, 2), (4, 64)])
+@pytest.mark.parametrize("few", [2, 64])
 def test_a_group_of_copies_with_few_and_many_edits(spark, monkeypatch, few):
     """Versions of one text, each with copies of its own, some edits being shared: whatever the sizes at which pairs take the place of stars."""
-    monkeypatch.setattr(minhash, "FEW_AT_FIRST", few[0])
-    monkeypatch.setattr(minhash, "FEW", few[1])
+    monkeypatch.setattr(minhash, "FEW", few)
     rnd = random.Random(8)
     base, versions = [f"w{i}" for i in range(60)], []
     for _ in range(6):

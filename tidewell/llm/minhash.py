@@ -7,11 +7,12 @@ independent even for short documents. Bins are put together into bands; document
 
 Equal sets are one node from the start (the least doc_id stands for all). Candidates within a bucket are stars: its hub, the
 node with most company in all its buckets, is compared with the others, on full sets. Nodes that are linked with
-their hub need no more. Where nodes of a bucket aren't in one component yet, the rest is found exactly, without all pairs:
+their hub need no more. Where nodes of a hub aren't in one component yet, the rest is found exactly, without all pairs:
 
-- Linked pairs share differences from their hub. With D(x) the shingles that only one of x and hub h has, a pair is linked if and only if
-  (100 + percent) * |D(x) ^ D(y)| <= (100 - percent) * (|x| + |y|), as x ^ y = D(x) ^ D(y). So |D(x) & D(y)| is half of
-  A(x) + A(y) at least, where A(x) = |D(x)| - (100 - percent) / (100 + percent) * |x|, and that is above 0 whenever x or y isn't linked with h.
+- Nodes x and y can be compared by their differences from any hub h: with D(x) the shingles that only one of x and h has, x ^ y = D(x) ^ D(y), and they
+  are linked if and only if (100 + percent) * |D(x) ^ D(y)| <= (100 - percent) * (|x| + |y|). So full sets are read for the first stars alone.
+- So |D(x) & D(y)| is half of A(x) + A(y) at least, where A(x) = |D(x)| - (100 - percent) / (100 + percent) * |x|, and that is above 0
+  whenever x or y isn't linked with h: linked pairs share differences from their hub.
 - So such pairs meet in one of their rarest shared differences: a node's differences that no other node of the hub has are put
   aside, the others ordered by how many nodes have them, and the node goes into the groups of the first of them, as many as are left over
   when the least overlap with any partner is taken away.
@@ -39,8 +40,8 @@ from tidewell.session import discard, materialise
 
 #: Bins of the permutation. With bands of 5 rows a pair at 0.85 is missed about once in a million, with 4 at 0.8 once in seven million.
 BINS = 120
-#: Nodes of a bucket, and of a group of nodes with one difference from their hub, up to which all pairs are compared.
-FEW_AT_FIRST, FEW = 4, 64
+#: Nodes of a group with one difference from their hub up to which all pairs are compared.
+FEW = 64
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 #: Stands for a word that isn't there, in texts shorter than a shingle.
 ABSENT = np.uint64(0x5851F42D4C957F2D)
@@ -140,14 +141,6 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
     return over_slices(docs.select(F.col("doc_id").cast("long"), "text"), "text", make, "id long, shingles array<long>")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union of their full sets."""
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("_x"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("_y"))
-    both = F.size(F.array_intersect("_x", "_y"))
-    return pairs.join(right, "b").join(left, "a").filter(100 * both >= percent * (F.size("_x") + F.size("_y") - both)).select("a", "b")
-
-
 def overlap(one: Column, other: Column, percent: int) -> Column:
     """How many differences from their hub two nodes with these A must share to be linked, A being in units of 1 / (100 + percent)."""
     return F.greatest(F.lit(1), F.ceil((one + other) / (2 * (100 + percent))))
@@ -159,62 +152,61 @@ def fits(x: str, y: str, percent: int) -> Column:
     return (F.col(f"{x}.apart") | F.col(f"{y}.apart")) & (room >= overlap(F.col(f"{x}.A"), F.col(f"{y}.A"), percent))
 
 
-def candidates(groups: DataFrame, few: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) to compare in groups (root, g, many, node), and stars (root, hub, node) of the groups of more than few nodes."""
+def compared(groups: DataFrame, nodes: DataFrame, few: int, percent: int) -> DataFrame:
+    """Pairs (root, hub, node, star, n, apart, differ): of small groups (root, g, many, node) all pairs that may be linked, of larger ones stars.
+
+    nodes: root, id, n (size of the set) and differ (differences from the root's hub; at first the set itself). A pair's differ is empty unless it is of a star.
+    """
     small, large = groups.filter(F.col("many") <= few), groups.filter(F.col("many") > few)
     hubs = large.groupBy("g").agg(F.max("node").alias("hub"))
-    stars = large.join(hubs, "g").filter("hub.id <> node.id").select("root", "hub", "node")
-    pairs = small.select("g", F.col("node").alias("hub")).join(small.select("g", "node"), "g").filter("hub.id < node.id").select("hub", "node")
-    both = stars.select("hub", "node").unionByName(pairs).filter((F.col("hub.label") != F.col("node.label")) & fits("hub", "node", percent))
-    ids = both.groupBy(F.least("hub.id", "node.id").alias("a"), F.greatest("hub.id", "node.id").alias("b")).agg(F.lit(1).alias("_")).drop("_")
-    return ids, stars
-
-
-def by_differences(stars: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Groups (root, g, node) of the nodes of stars that aren't one component, by the rarest differences from their hub."""
-    named = stars.select(F.xxhash64("root", "hub.id").alias("root"), F.col("hub.id").alias("hub"), F.col("node.id").alias("id"), F.col("node.company").alias("company")).distinct()
-    named = named.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-    open_ = named.groupBy("root").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo <> _hi").select("root")
-    own = named.join(open_, "root", "left_semi").join(sets, "id")
-    both = own.join(sets.select(F.col("id").alias("hub"), F.col("shingles").alias("_hub")), "hub")
-    differ = F.concat(F.array_except("shingles", "_hub"), F.transform(F.array_except("_hub", "shingles"), F.bitwise_not)).alias("differ")
-    both = both.select("root", "id", "company", "label", F.size("shingles").alias("n"), F.size("_hub").alias("_n"), differ)
+    stars = large.join(hubs, "g").filter("hub.id <> node.id").select("root", "hub", "node", F.lit(True).alias("star"))
+    pairs = small.select("g", F.col("node").alias("hub")).join(small.select("g", "root", "node"), "g").filter("hub.id < node.id").select("root", "hub", "node", F.lit(False).alias("star"))
+    both = stars.unionByName(pairs.filter((F.col("hub.label") != F.col("node.label")) & fits("hub", "node", percent)))
+    both = both.groupBy("root", F.col("hub.id").alias("hub"), F.col("node.id").alias("id")).agg(F.max("node.company").alias("company"), F.bool_or("star").alias("star"))
+    own = both.join(nodes.select("root", "id", "n", "differ"), ["root", "id"])
+    full = own.join(nodes.select("root", F.col("id").alias("hub"), F.col("n").alias("_n"), F.col("differ").alias("_hub")), ["root", "hub"])
+    shared = F.size(F.array_intersect("differ", "_hub"))
+    full = full.withColumn("_apart", (100 + percent) * (F.size("differ") + F.size("_hub") - 2 * shared) > (100 - percent) * (F.col("n") + F.col("_n")))
+    differ = F.when(F.col("star"), F.concat(F.array_except("differ", "_hub"), F.array_except("_hub", "differ"))).otherwise(F.array().cast("array<long>"))
+    return full.select("root", "hub", "id", "company", "star", "n", F.col("_apart").alias("apart"), differ.alias("differ"))
+
+
+def by_differences(stars: DataFrame, labels: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Groups (root, g, node) of the nodes of stars that aren't one component, by the rarest differences from their hub, and these nodes (root, id, n, differ)."""
+    named = stars.withColumn("root", F.xxhash64("root", "hub")).drop("hub", "star").join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
     a = (100 + percent) * F.size("differ") - (100 - percent) * F.col("n")
-    apart = (100 + percent) * F.size("differ") > (100 - percent) * (F.col("n") + F.col("_n"))
-    nodes = materialise(both.select("root", "id", "company", "label", a.cast("long").alias("A"), apart.alias("apart"), "differ"), "differences")
-    least = nodes.groupBy("root").agg(F.min("A").alias("_all"), F.min(F.when(F.col("apart"), F.col("A"))).alias("_apart")).filter("_apart is not null")
-    each = nodes.select("root", "id", "company", "label", "A", "apart", F.explode("differ").alias("_d")).withColumn("g", F.xxhash64("root", "_d")).drop("_d")
+    sized = named.withColumn("A", a.cast("long"))
+    least = sized.groupBy("root").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.min("A").alias("_all"), F.min(F.when(F.col("apart"), F.col("A"))).alias("_apart"))
+    nodes = materialise(sized.join(least.filter("_lo <> _hi and _apart is not null").drop("_lo", "_hi"), "root"), "nodes")
+    keys = ["root", "id", "company", "label", "A", "apart", "_all", "_apart"]
+    each = nodes.select(*keys, F.explode("differ").alias("_d")).withColumn("g", F.xxhash64("root", "_d")).drop("_d")
     often = each.groupBy("g").agg(F.count("*").alias("_many")).filter("_many > 1")
     # a node's differences with other nodes: no more than its and its hub's shingles
-    ordered = each.join(often, "g").groupBy("root", "id", "company", "label", "A", "apart").agg(F.sort_array(F.collect_list(F.struct("_many", "g"))).alias("order"))
-    ordered = ordered.join(least, "root").withColumn("s", F.size("order"))
+    ordered = each.join(often, "g").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_many", "g"))).alias("order")).withColumn("s", F.size("order"))
     first = F.col("s") - overlap(F.col("A"), F.when(F.col("apart"), F.col("_all")).otherwise(F.col("_apart")), percent) + 1
     placed = ordered.withColumn("_first", first.cast("int")).filter("_first > 0").select("*", F.posexplode(F.slice("order", F.lit(1), F.col("_first"))).alias("_at", "_g"))
     node = F.struct("company", "id", "label", "A", "apart", "s", (F.col("_at") + 1).alias("pos"))
-    out = materialise(placed.select("root", F.col("_g.g").alias("g"), node.alias("node")), "groups")
-    discard(nodes)
-    return out
+    return materialise(placed.select("root", F.col("_g.g").alias("g"), node.alias("node")), "groups"), nodes
 
 
 def link(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Labels (id, component) of nodes that links between nodes of one bucket connect; nodes without links may be missing.
 
-    members: (bucket, id, company), company being the same in all rows of an id.
+    members: (bucket, id, company), company being the same in all rows of an id. sets: (id, shingles).
     """
-    # at first nothing is known of differences: as if each node were apart from a hub with which it shares whatever it may
+    # at first the hub is the empty set, from which every node is apart, and the bucket says nothing about differences
     node = F.struct("company", "id", F.col("id").alias("label"), F.lit(0).cast("long").alias("A"), F.lit(True).alias("apart"), F.lit(1).alias("s"), F.lit(1).alias("pos"))
-    groups, few = members.select(F.lit(0).cast("long").alias("root"), F.col("bucket").alias("g"), node.alias("node")), FEW_AT_FIRST
-    labels = None
+    groups, few = members.select(F.lit(0).cast("long").alias("root"), F.col("bucket").alias("g"), node.alias("node")), 1
+    nodes, labels = sets.select(F.lit(0).cast("long").alias("root"), "id", F.size("shingles").alias("n"), F.col("shingles").alias("differ")), None
     while True:
         mixed = groups.groupBy("g").agg(F.count("*").alias("many"), F.min("node.label").alias("_lo"), F.max("node.label").alias("_hi"), F.bool_or("node.apart").alias("_apart"))
-        open_ = groups.join(mixed.filter("_lo <> _hi and _apart").select("g", "many"), "g")
-        open_ = materialise(open_, "open")
+        open_ = materialise(groups.join(mixed.filter("_lo <> _hi and _apart").select("g", "many"), "g"), "open")
         if labels is not None and open_.isEmpty():
-            discard(open_)
+            discard(open_, groups, nodes)
             return labels
-        ids, stars = candidates(open_, few, percent)
-        pairs = materialise(ids, "pairs")
-        found = materialise(confirmed(pairs, sets, percent), "links")
+        pairs = materialise(compared(open_, nodes, few, percent), "pairs")
+        discard(open_, groups, nodes)
+        found = pairs.filter("not apart").select(F.col("hub").alias("a"), F.col("id").alias("b"))
         if labels is None:
             labels = materialise(components(found), "labels")
         elif not found.isEmpty():
@@ -226,8 +218,8 @@ def link(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             # nodes whose first link this is
             before, labels = labels, materialise(joined.unionByName(moved.join(labels, "id", "left_anti").select("id", "component")), "labels")
             discard(before, moved)
-        last, groups, few = groups, by_differences(stars, labels, sets, percent), FEW
-        discard(open_, pairs, found, last)
+        (groups, nodes), few = by_differences(pairs.filter("star"), labels, percent), FEW
+        discard(pairs)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: int = 4) -> DataFrame:
