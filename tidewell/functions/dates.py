@@ -25,11 +25,35 @@ def dubai_day(instant: Column) -> Column:
 
 
 def posted_ago(instant: Column, now: Column) -> Column:
-    """How long ago, in days under 14, weeks under 60 days, else months."""
-    days = F.floor((F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(instant.cast("timestamp"))) / 86_400)
-    return (
-        F.when(days < 1, F.lit("today"))
-        .when(days < 14, F.concat(days.cast("string"), F.lit("d")))
-        .when(days < 60, F.concat(F.floor(days / 7).cast("string"), F.lit("w")))
-        .otherwise(F.concat(F.floor(days / 30).cast("string"), F.lit("mo")))
-    )
+    """How long ago, in days under 14, weeks under 60 days, else months; empty without an instant."""
+    days = F.greatest(F.lit(0), F.floor((F.unix_millis(now.cast("timestamp")) - F.unix_millis(instant.cast("timestamp"))) / 86_400_000))
+    said = lambda n, unit: F.format_string(f"Posted %d {unit} ago", n.cast("long"))
+    ago = F.when(days < 1, "Posted today").when(days < 14, said(days, "days")).when(days < 60, said(F.floor(days / 7), "weeks")).otherwise(said(F.floor(days / 30), "months"))
+    return F.when(instant.isNull(), "").otherwise(ago)
+
+
+def real_day(text: Column) -> Column:
+    """A calendar day written YYYY-MM-DD, null if there is no such day."""
+    t = F.trim(text)
+    return F.when(t.rlike(r"^\d{4}-\d\d-\d\d$"), F.try_to_timestamp(t, F.lit("yyyy-MM-dd")).cast("date"))
+
+
+def past_day(text: Column, today: Column) -> Column:
+    """Whether a text is a real day, not after today."""
+    return F.coalesce(real_day(text) <= today, F.lit(False))
+
+
+def event_days(start: Column, end: Column) -> tuple[Column, Column]:
+    """Day and month of an event: "3" and "Feb", or "28-2" and "Feb-Mar" if it lasts."""
+    day, month = lambda d: F.dayofmonth(d).cast("string"), lambda d: F.date_format(d, "MMM")
+    lasts = F.coalesce(end != start, F.lit(False))
+    months = F.when(lasts & (month(end) != month(start)), F.concat_ws("-", month(start), month(end))).otherwise(month(start))
+    return F.when(lasts, F.concat_ws("-", day(start), day(end))).otherwise(day(start)), months
+
+
+def offset_ms(spec: Column) -> Column:
+    """Milliseconds of a span such as -2d3h10m."""
+    total = F.lit(0).cast("long")
+    for unit, ms in (("d", 86_400_000), ("h", 3_600_000), ("m", 60_000)):
+        total = total + F.aggregate(F.regexp_extract_all(spec, F.lit(rf"(\d+){unit}"), 1), F.lit(0).cast("long"), lambda a, n: a + n.cast("long")) * ms
+    return F.when(spec.startswith("-"), -total).otherwise(total)

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewell.functions.text import normalise_title
+
 # Parameters that only track where a reader came from.
 TRACKING = (
     "fbclid gclid dclid gbraid wbraid msclkid yclid mc_cid mc_eid igshid ref ref_src ref_url referrer source src cmpid cmp ito ncid sr_share"
@@ -69,6 +71,29 @@ def article_id(canonical_url: Column) -> Column:
     return F.concat(F.lit("a_"), short_hash(canonical_url))
 
 
+def job_id(key: Column) -> Column:
+    return F.concat(F.lit("j_"), short_hash(key))
+
+
+def employer_id(company: Column) -> Column:
+    """By the company's name in its normal form."""
+    return F.concat(F.lit("emp_"), short_hash(normalise_title(company)))
+
+
+def story_id(first_article: Column) -> Column:
+    return F.concat(F.lit("s_"), short_hash(first_article, 14))
+
+
+def asset_url(ref: Column, base: str) -> Column:
+    """Where an image asset (image-<id>-<size>-<format>) lies under a base address; null for anything else."""
+    pattern = r"^image-([A-Za-z0-9]+)-(\d+x\d+)-([a-z0-9]+)$"
+    return F.when(ref.rlike(pattern), F.concat(F.lit(f"{base}/"), F.regexp_replace(ref, pattern, "$1-$2.$3")))
+
+
+def https_only(url: Column) -> Column:
+    return F.when(url.rlike(r"""^https://[^\s"'<>]+$"""), url)
+
+
 def segments(url: Column) -> Column:
     """The parts of the path in lower case."""
     return F.filter(F.split(F.lower(path(url)), "/"), lambda x: x != "")

@@ -36,34 +36,68 @@ def capped(df: DataFrame, keys: Sequence[str], order: Sequence[str], cap: int) -
     return df.withColumn("accepted", F.row_number().over(w) <= cap)
 
 
-def breaker(outcomes: DataFrame, key: str, at: str, order: Sequence[str], failed: Column, most: int = 5, pause_days: int = 7) -> DataFrame:
-    """The state of each source after its last outcome: consecutive_failures, status (ok, error, paused), paused_until.
+def breaker(outcomes: DataFrame, key: str, at: str, order: Sequence[str], failed: Column, gone: Column | None = None, most: int = 5, pause_days: int = 7) -> DataFrame:
+    """The state of each source after its last outcome: consecutive_failures, status (ok, error, paused, not-found), paused_until.
 
-    Failures since the last success are counted by aggregates: the last success first, then what came after it.
+    gone marks failures that pause a source at once. The last success is found by an aggregate, then what came after it is counted.
     """
-    marked = outcomes.select(key, F.struct(*order).alias("_at"), F.col(at).alias("_t"), F.coalesce(failed, F.lit(False)).alias("_failed"))
+    gone = F.coalesce(gone, F.lit(False)) if gone is not None else F.lit(False)
+    marked = outcomes.select(key, F.struct(*order).alias("_at"), F.col(at).alias("_t"), F.coalesce(failed, F.lit(False)).alias("_failed"), gone.alias("_gone"))
     last = marked.groupBy(key).agg(F.max(F.when(~F.col("_failed"), F.col("_at"))).alias("_ok"))
     after = marked.filter("_failed").join(last, key).filter(F.col("_ok").isNull() | (F.col("_at") > F.col("_ok")))
-    streak = after.groupBy(key).agg(F.count("*").alias("_n"), F.max("_t").alias("_last"))
-    n = F.coalesce("_n", F.lit(0))
-    status = F.when(n == 0, "ok").when(n >= most, "paused").otherwise("error")
-    until = F.when(n >= most, F.col("_last") + F.expr(f"interval {pause_days} days"))
+    latest = F.max(F.struct("_at", "_t", "_gone"))
+    # a pause that a gone page began outlasts later failures until its own end
+    streak = after.groupBy(key).agg(F.count("*").alias("_n"), latest.alias("_last"), F.max(F.when(F.col("_gone"), F.col("_t"))).alias("_gone_at"))
+    n, ended = F.coalesce("_n", F.lit(0)), F.col("_last._t")
+    status = F.when(n == 0, "ok").when(F.col("_last._gone"), "not-found").when(n >= most, "paused").otherwise("error")
+    until = F.when(F.col("_last._gone") | (n >= most), ended).otherwise(F.col("_gone_at")) + F.expr(f"interval {pause_days} days")
     return last.join(streak, key, "left").select(key, n.alias("consecutive_failures"), status.alias("status"), until.alias("paused_until"))
 
 
-#: Review workflow: action, statuses it may start from, status it leads to, whether only approvers may, whether it needs a reason.
-TRANSITIONS = (
-    ("approve", ("pending", "rejected"), "approved", True, False), ("publish", ("approved",), "published", True, False), ("reject", ("pending", "approved"), "rejected", False, True),
-    ("reopen", ("rejected",), "pending", False, False), ("withdraw", ("published",), "approved", True, True), ("archive", ("published", "rejected"), "archived", False, False),
-)
-
-
-def next_status(status: Column, action: Column, approver: Column, reason: Column) -> Column:
-    """The status after an action, or null where it isn't allowed."""
-    to = F.lit(None).cast("string")
-    for name, starts, end, only_approvers, needs_reason in TRANSITIONS:
-        allowed = (action == name) & status.isin(list(starts))
-        allowed = allowed & F.coalesce(approver, F.lit(False)) if only_approvers else allowed
-        allowed = allowed & (F.coalesce(F.trim(reason), F.lit("")) != "") if needs_reason else allowed
+# Actions of the review of stories and of jobs, each with the statuses it may start from, the status it leads to and whether only approvers may.
+STORY_ACTIONS = (
+    ("approve", ("pending_review", "rejected"), "approved", True),
+    ("approvePublish", ("pending_review", "rejected"), "published", True),
+    ("publish", ("approved",), "published", True),
+    ("schedule", ("pending_review", "approved"), "published", True),
+    ("reject", ("pending_review", "approved"), "rejected", False),
+    ("unpublish", ("published",), "approved", False),
+    ("archive", ("pending_review", "approved", "rejected", "published"), "archived", False),
+    ("returnToReview", ("approved", "rejected", "archived"), "pending_review", False),
+)
+JOB_ACTIONS = (
+    ("approvePublish", ("pending_review", "rejected", "archived"), "published", True),
+    ("reject", ("pending_review", "published"), "rejected", False),
+    ("unpublish", ("published",), "pending_review", False),
+    ("archive", ("pending_review", "published", "rejected"), "archived", False),
+)
+#: Characters of a reason for a rejection.
+REASON = (5, 300)
+
+
+def next_status(actions: Sequence[tuple], status: Column, action: Column, approver: Column, reason: Column, checks: Column | None = None) -> Column:
+    """The status after an action, or null where it isn't allowed. Rejections need a reason; what only approvers may do needs checks to be true, too."""
+    now, to = F.coalesce(status, F.lit("pending_review")), F.lit(None).cast("string")
+    why = F.length(F.trim(F.coalesce(reason, F.lit(""))))
+    for name, starts, end, only_approvers in actions:
+        allowed = (action == name) & now.isin(list(starts))
+        if only_approvers:
+            allowed = allowed & F.coalesce(approver, F.lit(False)) & (F.coalesce(checks, F.lit(False)) if checks is not None else F.lit(True))
+        if name == "reject":
+            allowed = allowed & why.between(*REASON)
         to = F.when(allowed, end).otherwise(to)
     return to
+
+
+def reset(states: DataFrame, key: str, which: Sequence[str]) -> DataFrame:
+    """Breaker states (consecutive_failures, status, paused_until) with some sources as new."""
+    chosen = F.col(key).isin(list(which))
+    return states.withColumns({
+        "consecutive_failures": F.when(chosen, F.lit(0)).otherwise(F.col("consecutive_failures")), "status": F.when(chosen, "new").otherwise(F.col("status")),
+        "paused_until": F.when(~chosen, F.col("paused_until")),
+    })
+
+
+def paused(until: Column, now: Column) -> Column:
+    """Whether a source is skipped: its pause hasn't ended."""
+    return F.coalesce(until > now, F.lit(False))

@@ -12,8 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.functions import text as T
 from tidewell.functions import url as U
+from tidewell.operators import classify
 
 
 def _quoted(values: Sequence[str]) -> str:
@@ -63,18 +63,10 @@ def reject_reason(rules: QualityRules, title: Column, link: Column, published: C
     return reason
 
 
-def term_score(terms: Mapping[str, int], title: Column, body: Column) -> Column:
-    """Sum over terms of twice the weight in a title, else once in the body; each term counts once. Both texts in lower case."""
-    total = F.lit(0)
-    for term, weight in terms.items():
-        total = total + F.when(T.has_term(title, term), 2 * weight).when(T.has_term(body, term), weight).otherwise(0)
-    return total
-
-
 def group_scores(df: DataFrame, key: str, title: Column, body: Column, groups: Mapping[str, Mapping[str, int]]) -> DataFrame:
     """key, group_id, ord (place in the rules), score of every group with a positive score; terms of one document in one pass."""
-    read = df.select(key, F.lower(title).alias("_title"), F.lower(body).alias("_body"))
-    rows = [F.struct(F.lit(g).alias("group_id"), F.lit(i).alias("ord"), term_score(t, F.col("_title"), F.col("_body")).alias("score")) for i, (g, t) in enumerate(groups.items())]
+    read, parts = classify.read_parts(df.select(key, title.alias("_title"), body.alias("_body")), F.col("_title"), F.col("_body"), [t for g in groups.values() for t in g])
+    rows = [F.struct(F.lit(g).alias("group_id"), F.lit(i).alias("ord"), parts.score(t).alias("score")) for i, (g, t) in enumerate(groups.items())]
     return read.select(key, F.inline(F.array(*rows))).filter("score > 0")
 
 

@@ -41,6 +41,7 @@ def matches_all(query: str, text: Column) -> Column:
 
 
 def page(df: DataFrame, order: Sequence[Column], offset: int, limit: int) -> DataFrame:
-    """A page of rows in order, each with the total of all rows."""
-    total = df.agg(F.count("*").alias("total"))
-    return df.orderBy(*order).offset(offset).limit(limit).crossJoin(F.broadcast(total))
+    """A page of rows in order, each with the total of all rows; past the last row one row with the total and nulls."""
+    total = df.agg(F.count("*").alias("total"))  # one row
+    shown = df.orderBy(*order).offset(offset).limit(limit)
+    return F.broadcast(total).join(shown, F.lit(True), "left").select(*df.columns, "total")

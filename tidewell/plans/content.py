@@ -135,7 +135,7 @@ def daily_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").filter("event_type in ('error', 'purchase')")
-    return lifecycle.breaker(events, "user_id", "ts", ["ts", "event_id"], F.col("event_type") == "error", most=3).withColumn("consecutive_failures", F.col("consecutive_failures").cast("long"))
+    return lifecycle.breaker(events, "user_id", "ts", ["ts", "event_id"], F.col("event_type") == "error", F.col("value") > 60, most=3).withColumn("consecutive_failures", F.col("consecutive_failures").cast("long"))
 
 
 def token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,9 +156,9 @@ def job_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def workflow_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event as a review action on a document of some status: what the transition table allows."""
     events = table(spark, sf_dir, "events")
-    status = F.element_at(F.array(*map(F.lit, ("pending", "approved", "rejected", "published", "archived"))), (F.col("event_id") % 5 + 1).cast("int"))
-    action = F.element_at(F.array(*map(F.lit, ("approve", "publish", "reject", "reopen", "withdraw", "archive"))), (F.col("user_id") % 6 + 1).cast("int"))
-    to = lifecycle.next_status(status, action, F.col("event_type") == "click", F.when(F.col("value") > 10, F.lit("because")))
+    status = F.element_at(F.array(*map(F.lit, ("pending_review", "approved", "rejected", "published", "archived"))), (F.col("event_id") % 5 + 1).cast("int"))
+    action = F.element_at(F.array(*[F.lit(a[0]) for a in lifecycle.STORY_ACTIONS]), (F.col("user_id") % 8 + 1).cast("int"))
+    to = lifecycle.next_status(lifecycle.STORY_ACTIONS, status, action, F.col("event_type") == "click", F.when(F.col("value") > 10, F.lit("because")))
     return events.groupBy(status.alias("status"), action.alias("action"), F.coalesce(to, F.lit("refused")).alias("next_status")).agg(F.count("*").alias("n"))
 
 
@@ -204,7 +204,6 @@ QUERIES = {
         lead_selection, vanished_close, ttl_prune, daily_cap, circuit_breaker, token_bucket, job_merge, workflow_step, dubai_day_counts, posted_ago, duplicate_ids, set_operations, meta_counts,
     )
 }
-_STATUSES, _ACTIONS = "['pending','approved','rejected','published','archived']", "['approve','publish','reject','reopen','withdraw','archive']"
 ORACLES = {
     "quality_reasons": """with p as (select regexp_extract(html, '<title>([^<]*)</title>', 1) as title, url, string_split(lower(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1)), '/') as seg from pages)
 select case when title is null or length(title) < 12 then 'missing-title' when url is null or url = '' then 'missing-link' when not regexp_matches(url, '(?i)^https?://') then 'invalid-link'
@@ -220,8 +219,8 @@ select doc_id, array_to_string(r, ',') as reasons, len(r) = 0 as public from h""
     "drop_safety": """with c as (select count(*) as n_live, count(*) filter (where p.doc_id is null) as n_missing from documents d left join (select doc_id from labels where quality = 1 and toxic = 0) p using (doc_id) where n_chars >= 500),
 q as (select *, cast(floor(n_missing * 100 / greatest(n_live, 1)) as bigint) as percent from c) select n_live, n_missing, percent, percent > 50 or n_missing = n_live as refused from q""",
     "employer_rollup": """with o as (select * from orders order by o_orderdate desc, o_orderkey limit 150), b as (select o_custkey, count(*) as n_open, bool_or(o_orderpriority = '1-URGENT') as featured from o group by 1)
-select c_name as employer, upper(array_to_string(list_transform(list_filter(regexp_split_to_array(c_name, '[^\\p{L}\\p{N}]+'), lambda w: w <> '')[1:2], lambda w: left(w, 1)), '')) as initials, n_open, featured
-from b join customer on c_custkey = o_custkey order by featured desc, n_open desc, c_name limit 20""",
+select c_name as employer, upper(case len(w) when 0 then '?' when 1 then left(w[1], 2) else left(w[1], 1) || left(w[2], 1) end) as initials, n_open, featured
+from b join (select *, list_filter(regexp_split_to_array(c_name, '[^\\p{L}\\p{N}]+'), lambda w: w <> '' and lower(w) not in ('the', 'and', 'of', 'for', 'llc', 'ltd', 'plc', 'inc', 'pjsc', 'psc', 'co', 'limited', 'demo')) as w from customer) c on c_custkey = o_custkey order by featured desc, n_open desc, c_name limit 20""",
     "topn_per_category": "select event_type, event_id, value, rank from (select *, row_number() over (partition by event_type order by value desc, event_id) as rank from events) t where rank <= 5",
     "facet_any_of": """select event_type, count(*) as n, min(event_id) as first_event from (select *, json_extract_string(props, '$.k') as k from events) t
 where event_type in ('click', 'purchase') and (k in ('1', '2', '3') or (contains(lower(props), 'k') and contains(lower(props), '7'))) group by 1""",
@@ -234,19 +233,22 @@ select event_type, count(*) as n_closed, min(user_id) as first_user from (select
 select status, count(*) as n_kept, min(event_id) as first_event from e where not ((status = 'pending' and ts < now - interval 30 days) or (status = 'rejected' and coalesce(changed, ts) < now - interval 45 days)) group by 1""",
     "daily_cap": """select day, count(*) filter (where rn <= 2) as n_accepted, count(*) filter (where rn > 2) as n_refused from
 (select cast(ts as date) as day, row_number() over (partition by user_id, cast(ts as date) order by ts, event_id) as rn from events) t group by 1""",
-    "circuit_breaker": """with e as (select user_id, ts, event_id, event_type = 'error' as failed from events where event_type in ('error', 'purchase')),
+    "circuit_breaker": """with e as (select user_id, ts, event_id, value, event_type = 'error' as failed from events where event_type in ('error', 'purchase')),
 f as (select *, sum(case when failed then 0 else 1 end) over (partition by user_id order by ts desc, event_id desc) as later from e),
-s as (select user_id, count(*) filter (where failed and later = 0) as n, max(ts) filter (where failed and later = 0) as last from f group by user_id)
-select user_id, n as consecutive_failures, case when n = 0 then 'ok' when n >= 3 then 'paused' else 'error' end as status, case when n >= 3 then last + interval 7 days end as paused_until from s""",
+s as (select user_id, count(*) filter (where failed and later = 0) as n, max(ts) filter (where failed and later = 0) as last, max(ts) filter (where failed and later = 0 and value > 60) as gone_at,
+  arg_max(value > 60, (ts, event_id)) filter (where failed and later = 0) as gone from f group by user_id)
+select user_id, n as consecutive_failures, case when n = 0 then 'ok' when gone then 'not-found' when n >= 3 then 'paused' else 'error' end as status, case when gone or n >= 3 then last else gone_at end + interval 7 days as paused_until from s""",
     "job_merge": """with o as (select o_orderkey as k, o_orderstatus as s, o_totalprice as p from orders where o_orderkey % 3 <> 0), n as (select o_orderkey as k, o_orderstatus as s, case when o_orderstatus <> 'P' then o_totalprice + 1 end as p from orders where o_orderkey % 2 = 0)
 select case when o.k is null then 'new' when n.k is null then 'old' else 'both' end as seen, coalesce(n.s, o.s) as o_orderstatus, count(*) as n, round(max(coalesce(n.p, o.p)), 2) as top_price from o full join n on o.k = n.k group by 1, 2""",
-    "workflow_step": f"""with e as (select {_STATUSES}[event_id % 5 + 1] as status, {_ACTIONS}[user_id % 6 + 1] as action, event_type = 'click' as approver, value > 10 as reason from events)
-select status, action, coalesce(case when action = 'approve' and status in ('pending', 'rejected') and approver then 'approved' when action = 'publish' and status = 'approved' and approver then 'published'
-  when action = 'reject' and status in ('pending', 'approved') and reason then 'rejected' when action = 'reopen' and status = 'rejected' then 'pending'
-  when action = 'withdraw' and status = 'published' and approver and reason then 'approved' when action = 'archive' and status in ('published', 'rejected') then 'archived' end, 'refused') as next_status, count(*) as n from e group by all""",
+    "workflow_step": """with e as (select ['pending_review','approved','rejected','published','archived'][event_id % 5 + 1] as status,
+  ['approve','approvePublish','publish','schedule','reject','unpublish','archive','returnToReview'][user_id % 8 + 1] as action, event_type = 'click' as approver, value > 10 as reason from events)
+select status, action, coalesce(case when action in ('approve', 'approvePublish') and status in ('pending_review', 'rejected') and approver then if(action = 'approve', 'approved', 'published')
+  when action = 'publish' and status = 'approved' and approver then 'published' when action = 'schedule' and status in ('pending_review', 'approved') and approver then 'published'
+  when action = 'reject' and status in ('pending_review', 'approved') and reason then 'rejected' when action = 'unpublish' and status = 'published' then 'approved'
+  when action = 'archive' and status <> 'archived' then 'archived' when action = 'returnToReview' and status in ('approved', 'rejected', 'archived') then 'pending_review' end, 'refused') as next_status, count(*) as n from e group by all""",
     "dubai_day_counts": "select cast(ts + interval 4 hours as date) as day, count(*) as n from events group by 1",
     "posted_ago": """with a as (select cast(floor((epoch(timestamp '2024-03-20 12:00:00') - floor(epoch(ts))) / 86400) as bigint) as d from events)
-select case when d < 1 then 'today' when d < 14 then d || 'd' when d < 60 then (d // 7) || 'w' else (d // 30) || 'mo' end as ago, count(*) as n from a group by 1""",
+select case when d < 1 then 'Posted today' when d < 14 then 'Posted ' || d || ' days ago' when d < 60 then 'Posted ' || (d // 7) || ' weeks ago' else 'Posted ' || (d // 30) || ' months ago' end as ago, count(*) as n from a group by 1""",
     "duplicate_ids": "select md5(coalesce(text, '')) as text_hash, count(*) as n, min(doc_id) as first_doc from documents group by 1 having count(*) > 1",
     "set_operations": """select case when d.doc_id is null then 'labels_only' when l.doc_id is null then 'documents_only' else 'both' end as part, count(*) as n, cast(sum(coalesce(d.doc_id, l.doc_id)) as bigint) as id_sum
 from (select doc_id from documents where n_chars > 2000) d full join labels l on d.doc_id = l.doc_id group by 1""",

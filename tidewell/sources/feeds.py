@@ -44,7 +44,7 @@ def items(feeds: DataFrame, xml: str = "xml", most: int = 60) -> DataFrame:
     atom = read.filter("format = 'atom'").withColumn("_f", F.from_xml("_x", ATOM, options)).select(*kept, "format", F.posexplode("_f.entry").alias("ord", "i"))
     first = lambda ok: F.get(F.filter("i.link", ok), F.lit(0))["_href"]
     link = F.coalesce(first(lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate"), first(lambda x: x["_href"].isNotNull()))
-    labels = F.transform(F.coalesce("i.category", F.array().cast("array<struct<_term:string,_label:string>>")), lambda c: F.trim(F.coalesce(c["_label"], c["_term"])))
+    labels = F.transform(F.coalesce("i.category", F.array().cast("array<struct<_term:string,_label:string>>")), lambda c: F.trim(F.coalesce(F.nullif(c["_term"], F.lit("")), c["_label"])))
     atom = atom.select(
         *kept, "format", "ord", F.trim(T.decode_entities(F.col("i.title"))).alias("title"), link.alias("link"), F.coalesce("i.id", link).alias("guid"),
         D.parse(F.coalesce("i.published", "i.updated")).alias("published_at"), F.col("i.summary").alias("summary_html"), F.col("i.content").alias("content_html"),
