@@ -118,7 +118,7 @@ def blanked(text: Column, phrases: Sequence[str]) -> Column:
 
 
 def _confidence(ranked: Column) -> Column:
-    return F.coalesce(F.least(F.lit(1.0), F.get(ranked, F.lit(0))["score"] / CONFIDENT_AT), F.lit(0.0))
+    return F.least(F.lit(1.0), F.coalesce(F.get(ranked, F.lit(0))["score"], F.lit(0)) / CONFIDENT_AT)
 
 
 def explain(label: str, ranked: Column) -> Column:

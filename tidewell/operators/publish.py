@@ -147,5 +147,7 @@ def appended(submissions: DataFrame, new: DataFrame, cap: int) -> DataFrame:
     fresh = new.withColumn("_key", key).join(known.withColumn("_known", F.lit(True)), "_key", "left").filter("kind <> 'newsletter' or _known is null")
     once = fresh.withColumn("_n", F.row_number().over(w)).filter("kind <> 'newsletter' or _n = 1")
     room = submissions.groupBy("kind").agg(F.count("*").alias("_held"))
-    placed = once.withColumn("_n", F.row_number().over(Window.partitionBy("kind").orderBy("at"))).join(room, "kind", "left")
+    # tasks keep the first `cap` of a kind before the shuffle
+    first = once.withColumn("_n", F.row_number().over(Window.partitionBy("kind").orderBy("at"))).filter(F.col("_n") <= cap)
+    placed = first.join(room, "kind", "left")
     return placed.filter(F.col("_n") + F.coalesce("_held", F.lit(0)) <= cap).select(*new.columns)

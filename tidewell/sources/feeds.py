@@ -80,9 +80,12 @@ def ashby(boards: DataFrame, json: str = "json") -> DataFrame:
 
 
 TITLE = r"^(.+?)\s+at\s+(.+?)\s*(?:\(([^)]+)\))?\s*$"
+#: What a category looks like that names a place.
+PLACE = r"(?i)\b(uae|dubai|abu dhabi|sharjah|difc|adgm|remote)\b"
 
 
 def rss_jobs(feed_items: DataFrame, company: str = "company") -> DataFrame:
-    """Jobs from feed items whose titles read "Role at Company (Location)"; else the source's company and no location."""
+    """Jobs from feed items whose titles read "Role at Company (Location)"; else the source's company, and the first category that names a place."""
     part = lambda n: F.nullif(F.regexp_extract("title", TITLE, n), F.lit(""))
-    return feed_items.select(F.coalesce("guid", "link").alias("external_id"), F.coalesce(part(1), "title").alias("title"), F.coalesce(part(2), company).alias("company"), part(3).alias("location"), F.col("link").alias("url"), F.col("published_at").alias("posted_at"))
+    place = F.get(F.filter("categories", lambda c: c.rlike(PLACE)), F.lit(0)) if "categories" in feed_items.columns else F.lit(None).cast("string")
+    return feed_items.select(F.coalesce("guid", "link").alias("external_id"), F.coalesce(part(1), "title").alias("title"), F.coalesce(part(2), company).alias("company"), F.coalesce(part(3), place).alias("location"), F.col("link").alias("url"), F.col("published_at").alias("posted_at"))
