@@ -186,7 +186,7 @@ def submissions_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     sent = table(spark, sf_dir, "events").select("event_id", kind.alias("kind"), F.col("ts").alias("at"), F.concat(F.when(F.col("event_id") % 2 == 0, " U").otherwise("u"), F.col("user_id").cast("string")).alias("email"))
     split = F.lit("2024-01-05").cast("timestamp_ntz")
     held, new = sent.filter(F.col("at") < split), sent.filter(F.col("at") >= split)
-    return publish.appended(held, new, 120).groupBy("kind").agg(F.count("*").alias("n"), F.min("event_id").alias("first"), F.max("event_id").alias("last"))
+    return publish.appended(held, new, 1500).groupBy("kind").agg(F.count("*").alias("n"), F.min("event_id").alias("first"), F.max("event_id").alias("last"))
 
 
 def meta_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -307,7 +307,7 @@ select k as o_orderkey, len(w) = 0 as ok, array_to_string(w, ' ') as wrong from
 n as (select *, row_number() over (partition by user_id order by ts) as i from s where ts >= timestamp '2024-01-05' and kind = 'newsletter' and user_id not in (select user_id from s where ts < timestamp '2024-01-05' and kind = 'newsletter')),
 f as (select event_id, kind, ts from n where i = 1 union all select event_id, kind, ts from s where ts >= timestamp '2024-01-05' and kind <> 'newsletter'),
 p as (select *, row_number() over (partition by kind order by ts) as i from f), h as (select kind, count(*) as held from s where ts < timestamp '2024-01-05' group by 1)
-select kind, count(*) as n, min(event_id) as first, max(event_id) as last from p left join h using (kind) where i + coalesce(held, 0) <= 120 group by kind""",
+select kind, count(*) as n, min(event_id) as first, max(event_id) as last from p left join h using (kind) where i + coalesce(held, 0) <= 1500 group by kind""",
     "meta_merged": "select a.source as name, coalesce(b.n, a.n) as value from (select source, count(*) as n from documents group by 1) a left join (select source, count(*) as n from documents where n_chars > 6000 group by 1) b using (source)",
     "runs_kept": "select event_id, ts, value from events order by ts desc limit 20",
     "cleaned_texts": """with a as (select doc_id, nfc_normalize(text) as n, split_part(text, chr(10), 1) as l, text from documents where text is not null),
