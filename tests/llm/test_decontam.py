@@ -133,3 +133,18 @@ def test_a_larger_benchmark_is_searched_for_in_blocks(spark, sf, monkeypatch):
     monkeypatch.setattr(decontam, "TILE", 7)  # cosines are worked on by passages and parts
     monkeypatch.setattr(decontam, "BENCHMARK_WORDS", total)
     assert whole <= {tuple(r) for r in decontam.matches(docs, items).select(*columns).collect()}
+
+
+def test_sums_and_frequencies_of_passages_are_those_of_a_plain_count():
+    rnd = np.random.default_rng(4)
+    texts = [rnd.integers(-1, 9, n).astype(np.int32) for n in (0, 1, 31, 32, 33, 64, 65, 200, 7)]
+    p, table = decontam.Passages([t.tobytes() for t in texts]), rnd.normal(size=(9, 5)).astype(np.float32)
+    sums, often = [], np.zeros(9, int)
+    for t in texts:
+        blocks = [t[i : i + decontam.STRIDE] for i in range(0, len(t), decontam.STRIDE)]
+        for pair in [blocks[i : i + 2] for i in range(max(1, len(blocks) - 1))] if blocks else []:
+            each = [set(b[b >= 0].tolist()) for b in pair]
+            sums.append(sum((table[w] for e in each for w in e), np.zeros(5)))
+            for w in set().union(*each):
+                often[w] += 1
+    assert np.allclose(p.sums(table), np.array(sums), atol=1e-4) and (p.frequencies(9) == often).all()

@@ -100,9 +100,12 @@ class Passages:
         """The sum over each passage's words of their rows in a table."""
         out = np.zeros((self.blocks + 1, table.shape[1]), np.float32)
         if len(self.known):
-            block = self.block[self.known]
+            block, word = self.block[self.known], self.words[self.known]
             cuts = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
-            out[block[cuts]] = np.add.reduceat(table[self.words[self.known]], cuts, axis=0)
+            n = np.diff(np.append(cuts, len(block)))
+            for k in range(int(n.max())):  # the k-th words of all blocks that have so many: STRIDE rounds at most
+                at = cuts[n > k] + k
+                out[block[at]] += table[word[at]]
         return out[self.start] + out[self.second]  # the last row, of zeros, stands for no second block
 
     def passages_of_words(self) -> tuple[np.ndarray, np.ndarray]:
@@ -115,6 +118,21 @@ class Passages:
         words = self.words[self.known]
         return np.concatenate([pairs[pairs[:, 0] >= 0, 0], pairs[pairs[:, 1] >= 0, 1]]), np.concatenate([words[pairs[:, 0] >= 0], words[pairs[:, 1] >= 0]])
 
+    def frequencies(self, size: int) -> np.ndarray:
+        """In how many passages each known word is."""
+        block, word = self.block[self.known], self.words[self.known].astype(np.int64)
+        begins, ends = np.zeros(self.blocks, bool), np.zeros(self.blocks + 1, bool)
+        begins[self.start] = True
+        ends[self.second] = True  # the last one stands for no second block
+        each = begins[block].astype(np.int64) + ends[block]
+        # a word in both blocks of a passage counts once; pairs of block and word are in order
+        pairs = block << 32 | word
+        after = np.minimum(np.searchsorted(pairs, pairs + (1 << 32)), max(0, len(pairs) - 1))
+        paired = np.zeros(self.blocks, bool)
+        paired[self.start[self.second >= 0]] = True
+        each -= paired[block] & (pairs[after] == pairs + (1 << 32)) if len(pairs) else 0
+        return np.bincount(word, each, size).astype(np.int64)
+
     def surroundings(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Every (passage, word) of wanted words (a mark for each word) within STRIDE words of a passage or in it, once."""
         known = self.known[wanted[self.words[self.known]]]
@@ -180,9 +198,7 @@ def document_frequencies(encoded: DataFrame, size: int) -> tuple[np.ndarray, int
         total = np.zeros(size + 1, np.int64)
         for batch in batches:
             p = Passages(batch.column(0).to_pylist())
-            passage, word = p.passages_of_words()
-            once = np.unique(passage * size + word) % size
-            total[:size] += np.bincount(once, minlength=size)
+            total[:size] += p.frequencies(size)
             total[size] += len(p.start)
         some = np.flatnonzero(total)
         yield pa.record_batch({"word": some, "n": total[some]})
@@ -209,27 +225,29 @@ def latent_basis(encoded: DataFrame, weights: np.ndarray, rank: int, seed: int =
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         table, weights = shipped.value
-        total = np.zeros((size, rank), np.float32)
+        total = np.zeros((rank, size))
         for batch in batches:
             p = Passages(batch.column(0).to_pylist())
             if not len(p.known):
                 continue
             y = p.sums(table) / (norms(p, weights) ** 2)[:, None].astype(np.float32)
             # words' rows get the sum of their passages' rows: of blocks first, as both passages of a block hold all its words
-            rows = np.zeros((p.blocks + 1, rank), np.float32)
+            rows = np.zeros((p.blocks, rank), np.float32)
             rows[p.start] += y
-            np.add.at(rows, p.second, y)
-            words = p.words[p.known]
-            order = np.argsort(words, kind="stable")
-            cuts = np.flatnonzero(np.append(True, np.diff(words[order]) != 0))
-            total[words[order][cuts]] += np.add.reduceat(rows[p.block[p.known][order]], cuts, axis=0)
-        some = np.flatnonzero(total.any(1))
-        yield pa.record_batch({"word": some, "row": pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * rank, pa.int32()), pa.array(total[some].ravel().astype(float)))})
-
-    exploded = encoded.select("words").mapInArrow(run, "word long, row array<double>").select("word", F.posexplode("row").alias("d", "v"))
-    sums = exploded.groupBy("word", "d").agg(F.sum("v").alias("v")).toArrow()
+            has = p.second >= 0  # a block is the second one of one passage at most
+            rows[p.second[has]] += y[has]
+            words, block = p.words[p.known], p.block[p.known]
+            for d, column in enumerate(np.ascontiguousarray(rows.T)):
+                total[d] += np.bincount(words, column[block], size)
+        some = np.flatnonzero(total.any(0))
+        yield pa.record_batch({"word": some, "row": pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * rank, pa.int32()), pa.array(total[:, some].T.ravel()))})
+
+    # a task sends one row for each word, and rows are summed up as vectors
+    sent = encoded.select("words").mapInArrow(run, "word long, row array<double>")
+    sums = sent.groupBy("word").agg(*[F.sum(F.get("row", F.lit(d))).alias(f"v{d}") for d in range(rank)]).toArrow()
     z = np.zeros((size, rank))
-    z[sums["word"].to_numpy(), sums["d"].to_numpy()] = sums["v"].to_numpy()
+    for d in range(rank):
+        z[sums["word"].to_numpy(), d] = sums[f"v{d}"].to_numpy()
     basis, values, _ = np.linalg.svd(z * weights[:, None], full_matrices=False)
     return basis[:, values > 1e-9 * max(1e-300, values[0])] if size else z
 
