@@ -243,7 +243,8 @@ def of_rows(docs: DataFrame, words: int, percent: int, rows: int) -> DataFrame:
     met = materialise(banded.join(shared, "bucket").select("bucket", "id", "_many"), "met")
     members = materialise(met.join(met.groupBy("id").agg(F.sum("_many").alias("company")), "id").select("bucket", "id", "company"), "members")
     active = members.select(F.col("id").alias("doc_id")).distinct()
-    sets = materialise(full_sets(docs.join(active, "doc_id", "left_semi"), words), "sets")
+    # the ids grow with the documents: not broadcast at any size
+    sets = materialise(full_sets(docs.join(active.hint("merge"), "doc_id", "left_semi"), words), "sets")
     discard(met)
     labels = link(members, sets, percent)
     discard(members, sets)
