@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,19 +15,26 @@ from tidewell.session import materialise, ship, table
 TOKENIZER = "word_bpe_49k.json"
 
 
+def aside(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with columns that no stage needs under names that no operator uses, and what gives them their names and order back."""
+    names = {c: c if c in ("doc_id", "text", "lang") else f"_own_{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), lambda df: df.select(*[F.col(name).alias(c) for c, name in names.items()])
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that was learned; those without text or letters go. A missing lang is filled in."""
     ship(spark)
     model = langid.learn(docs.select("doc_id", "text", "lang").filter(~langid.held_out()))
-    marked = langid.predict(docs, model)
-    return marked.filter("lang_pred <> 'und'").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    own, back = aside(docs)
+    return back(langid.predict(own, model).filter("lang_pred <> 'und'").withColumn("lang", F.coalesce("lang", "lang_pred")))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     ship(spark)
     net = bytecnn.learn(docs, table(spark, sf_dir, "labels"))
-    return bytecnn.score(docs, net).filter("predicted = 1").select(*docs.columns)
+    own, back = aside(docs)
+    return back(bytecnn.score(own, net).filter("predicted = 1"))
 
 
 def as_documents(rows: DataFrame) -> DataFrame:
@@ -39,17 +48,19 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are decided on one by one: those with one doc_id, or none, stay if they are no near duplicates of each other.
     """
     ship(spark)
-    rows, _ = numbered(docs)
+    own, back = aside(docs)
+    rows, _ = numbered(own)
     kept = minhash.near_duplicates(as_documents(rows), words=5, percent=80, rows=4).filter("kept").select(F.col("doc_id").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    return back(rows.join(kept, "_row", "left_semi"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold no benchmark item, with or without a doc_id of their own."""
     ship(spark)
-    rows, _ = numbered(docs)
+    own, back = aside(docs)
+    rows, _ = numbered(own)
     leaks = decontam.matches(as_documents(rows), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_row")).distinct()
-    return rows.join(leaks, "_row", "left_anti").select(*docs.columns)
+    return back(rows.join(leaks, "_row", "left_anti"))
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
