@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.llm.test_minhash import brute
 from tidewell.llm import minhash
@@ -58,3 +60,15 @@ def test_missing_and_repeated_ids_through_all_stages(spark, tmp_path):
     assert (None, d["text"]) not in found["deduplicate"]
     assert found["decontaminate"] == sorted(clean, key=str)
     assert found["tokenise"] == left
+
+
+def test_extra_columns_keep_their_names_and_values(spark):
+    """Columns that are named like what operators add, of a kind that can't be ordered, and no rows at all."""
+    sf = "/root/testdata/sf0.001"
+    own = {"score": F.lit("s"), "lang_pred": F.lit(1), "predicted": F.col("doc_id"), "_row": F.lit(7), "label": F.create_map(F.lit("k"), F.col("doc_id")), "held_out": F.lit(None).cast("string")}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumns(own)
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        for rows in (docs, docs.limit(0)) if stage is not corpus_pipeline.quality else (docs,):
+            got = stage(spark, rows, sf)
+            assert got.dtypes == docs.dtypes
+            assert all(r.predicted == r.doc_id == r.label["k"] and (r.score, r.lang_pred, r["_row"]) == ("s", 1, 7) for r in got.collect())
