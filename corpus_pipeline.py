@@ -24,7 +24,7 @@ def aside(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that was learned; those without text or letters go. A missing lang is filled in."""
     ship(spark)
-    model = langid.learn(docs.select("doc_id", "text", "lang").filter(~langid.held_out()))
+    model = langid.learn(docs.select("doc_id", "text", "lang").filter(langid.learnable()))
     own, back = aside(docs)
     return back(langid.predict(own, model).filter("lang_pred <> 'und'").withColumn("lang", F.coalesce("lang", "lang_pred")))
 

@@ -43,3 +43,29 @@ def test_missing_values_and_empty_tables(spark):
     assert [r.lang_pred for r in got if r.doc_id in (1, 2)] == ["und", "und"]
     assert langid.identify(docs.limit(0)).count() == 0
     assert {r.lang_pred for r in langid.identify(docs.withColumn("lang", docs.lang.substr(9, 1)).replace("", None, ["lang"])).collect()} == {"und"}
+
+
+def test_more_languages_than_a_word_has_bits(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    # language i has words of its own: runs of two letters that no other language pairs
+    pairs = [(x, y) for n, x in enumerate(letters) for y in letters[n + 1 :]][:150]
+    rows = [(k * 200 + i, f"{x}{y}{x}{y} {y}{x}{y}{x} " * 5, f"l{i:03}") for i, (x, y) in enumerate(pairs) for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(docs)
+    assert len(model.languages) == 150 and model.masks.shape == (3, langid.SLOTS)
+    names, score = model.predict([r[1] for r in rows])
+    assert names == [r[2] for r in rows] and score.min() > 0.9
+
+
+def test_the_table_grows_with_its_ngrams():
+    assert langid.table_size(10) == langid.SLOTS and langid.table_size(10**9) == langid.LARGEST
+    assert langid.table_size(langid.SLOTS) > 4 * langid.SLOTS
+    hashed = np.arange(1, 1001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for size in (langid.SLOTS, langid.LARGEST):
+        assert all(at.max() < size and len(np.unique(at)) > 900 for at in langid.slots(hashed, size))
+
+
+def test_rows_without_an_id_are_not_learned(spark):
+    docs = spark.createDataFrame([(None, "some words here", "aa"), (1, "other words there", "bb")], "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.held_out, r.lang_pred) for r in langid.identify(docs).collect()}
+    assert got == {None: (False, "bb"), 1: (zlib.crc32(b"1") % 5 == 0, "bb")}
