@@ -13,8 +13,8 @@ their hub need no more. Where nodes of a hub aren't in one component yet, the re
   are linked if and only if (100 + percent) * |D(x) ^ D(y)| <= (100 - percent) * (|x| + |y|). So full sets are read for the first stars alone.
 - So |D(x) & D(y)| is half of A(x) + A(y) at least, where A(x) = |D(x)| - (100 - percent) / (100 + percent) * |x|, and that is above 0
   whenever x or y isn't linked with h: linked pairs share differences from their hub.
-- So such pairs meet in one of their rarest shared differences: a node's differences that no other node of the hub has are put
-  aside, the others ordered by how many nodes have them, and the node goes into the groups of the first of them, as many as are left over
+- So such pairs meet in one of their rarest shared differences: a node's differences that no node of another component has, or only
+  nodes linked with the hub, are put aside (no pair of interest shares them), the others ordered by how many nodes have them, and the node goes into the groups of the first of them, as many as are left over
   when the least overlap with any partner is taken away.
 - Groups of FEW nodes or fewer are compared as pairs, if the places of the shared difference leave room for the overlap. Larger groups are
   stars again, around a hub of their own, and so on; each round takes its hubs out, so rounds end.
@@ -180,7 +180,9 @@ def by_differences(stars: DataFrame, labels: DataFrame, percent: int) -> tuple[D
     nodes = materialise(sized.join(least.filter("_lo <> _hi and _apart is not null").drop("_lo", "_hi"), "root"), "nodes")
     keys = ["root", "id", "company", "label", "A", "apart", "_all", "_apart"]
     each = nodes.select(*keys, F.explode("differ").alias("_d")).withColumn("g", F.xxhash64("root", "_d")).drop("_d")
-    often = each.groupBy("g").agg(F.count("*").alias("_many")).filter("_many > 1")
+    # a pair of interest has two components and one node at least that isn't linked with the hub: so has every difference that it shares
+    of_g = each.groupBy("g").agg(F.count("*").alias("_many"), F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.bool_or("apart").alias("_open"))
+    often = of_g.filter("_lo <> _hi and _open").select("g", "_many")
     # a node's differences with other nodes: no more than its and its hub's shingles
     ordered = each.join(often, "g").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_many", "g"))).alias("order")).withColumn("s", F.size("order"))
     first = F.col("s") - overlap(F.col("A"), F.when(F.col("apart"), F.col("_all")).otherwise(F.col("_apart")), percent) + 1
