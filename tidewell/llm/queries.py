@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import bpe, bytecnn, decontam, htmltext, langid, minhash, pivots, rendezvous, repair, toxicity
+from tidewell.llm import bpe, bytecnn, decontam, htmltext, langid, minhash, naming, pivots, rendezvous, repair, toxicity
 from tidewell.session import table
 
 
@@ -62,6 +62,11 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents grouped by equal texts; the one with the largest doc_id stays."""
+    return naming.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op9_rendezvous_shards": op9_rendezvous_shards,
@@ -73,7 +78,9 @@ QUERIES = {
     "op7_embedding_links": op7_embedding_links,
     "op8_language": op8_language,
     "op10_main_text": op10_main_text,
+    "op11_exact_duplicates": op11_exact_duplicates,
 }
 ORACLES = {
     "op9_rendezvous_shards": rendezvous.oracle(),
+    "op11_exact_duplicates": naming.oracle(),
 }

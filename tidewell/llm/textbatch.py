@@ -57,6 +57,13 @@ def over_slices(df: DataFrame, column: str, make: Callable[[], Callable[[pa.Reco
     return df.mapInArrow(run, schema)
 
 
+def identified(docs: DataFrame) -> DataFrame:
+    """docs with `_row`, a number that each row has for itself: doc_id if no row lacks or shares it, else one given as the rows are written."""
+    if docs.groupBy("doc_id").agg(F.count("*").alias("_many")).filter("doc_id is null or _many > 1").isEmpty():
+        return docs.withColumn("_row", F.col("doc_id").cast("long"))
+    return materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "identified")
+
+
 def numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
     """docs with `_row`, a number of each row in order of doc_id (none last), then text; and whether that is doc_id itself, which no row lacks or shares then.
 
