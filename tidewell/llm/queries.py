@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import bpe, bytecnn, decontam, htmltext, langid, minhash, naming, pivots, rendezvous, repair, toxicity
+from tidewell.llm import audit, bpe, bytecnn, decontam, htmltext, langid, minhash, naming, pivots, rendezvous, repair, toxicity
 from tidewell.session import table
 
 
@@ -67,6 +67,11 @@ def op11_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return naming.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from each source in all their orders."""
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op9_rendezvous_shards": op9_rendezvous_shards,
@@ -79,8 +84,10 @@ QUERIES = {
     "op8_language": op8_language,
     "op10_main_text": op10_main_text,
     "op11_exact_duplicates": op11_exact_duplicates,
+    "op12_filter_audit": op12_filter_audit,
 }
 ORACLES = {
     "op9_rendezvous_shards": rendezvous.oracle(),
     "op11_exact_duplicates": naming.oracle(),
+    "op12_filter_audit": audit.oracle(),
 }
