@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import audit, bpe, bytecnn, decontam, htmltext, langid, minhash, naming, pivots, rendezvous, repair, toxicity
+from tidewell.llm import alignment, audit, bpe, bytecnn, decontam, htmltext, langid, minhash, naming, pivots, rendezvous, repair, toxicity
 from tidewell.session import table
 
 
@@ -72,6 +72,11 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two vocabularies overlap in every document, and how usual their links are."""
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op9_rendezvous_shards": op9_rendezvous_shards,
@@ -85,6 +90,7 @@ QUERIES = {
     "op10_main_text": op10_main_text,
     "op11_exact_duplicates": op11_exact_duplicates,
     "op12_filter_audit": op12_filter_audit,
+    "op13_token_links": op13_token_links,
 }
 ORACLES = {
     "op9_rendezvous_shards": rendezvous.oracle(),
