@@ -26,6 +26,8 @@ from tidewell.session import materialise
 
 #: Bytes of distinct texts that a task holds before it routes them.
 SPLIT_BYTES = 24 << 20
+#: Bytes of text that a route gets, about; its sorted stream holds and spills no more.
+ROUTE_BYTES = 16 << 20
 #: What a chain's entry takes besides its text, about.
 ENTRY_BYTES = 400
 
@@ -105,8 +107,9 @@ def settled_there(rows: Iterator) -> Iterator[tuple]:
 def masks(docs: DataFrame, hashed: Callable[[bytes], int] = fingerprint, most: int = SPLIT_BYTES) -> DataFrame:
     """doc_id, part, mask and how many rows have all three."""
     spark = docs.sparkSession
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) + F.count(F.lit(1)) * ENTRY_BYTES).first()[0]
+    many = total // ROUTE_BYTES + 1
     rows = docs.select("doc_id", F.coalesce("source", F.lit("")), "text").rdd
-    many = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.getNumPartitions())
     routed = rows.mapPartitions(lambda x: settled_here(x, hashed, most)).repartitionAndSortWithinPartitions(many, lambda key: key[0] % many)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return spark.createDataFrame(routed.mapPartitions(settled_there), f"doc_id {kind}, part string, mask int, n long", verifySchema=False)
