@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewell.plans import content, feeds, roles, stories, urls_and_text
+from tidewell.plans import content, feeds, newsroom, roles, stories, urls_and_text
 
-QUERIES = {**urls_and_text.QUERIES, **content.QUERIES, **stories.QUERIES, **roles.QUERIES, **feeds.QUERIES}
-ORACLES = {**urls_and_text.ORACLES, **content.ORACLES, **stories.ORACLES, **roles.ORACLES, **feeds.ORACLES}
+QUERIES = {**urls_and_text.QUERIES, **content.QUERIES, **stories.QUERIES, **roles.QUERIES, **feeds.QUERIES, **newsroom.QUERIES}
+ORACLES = {**urls_and_text.ORACLES, **content.ORACLES, **stories.ORACLES, **roles.ORACLES, **feeds.ORACLES, **newsroom.ORACLES}
