@@ -136,7 +136,7 @@ def test_feeds(spark):
     got = {(r.source, r.ord): r for r in feeds.items(df).collect()}
     assert set(got) == {("r", 0), ("r", 1), ("a", 0)}
     assert got["r", 0].title == "A & B" and got["r", 0].guid == "g1" and got["r", 0].categories == ["x", "y"] and got["r", 0].published_at == dt.datetime(2024, 1, 2, 3, 4, 5)
-    assert got["r", 1].link == "https://a.com/2" and got["a", 0].link == "https://b.com/1"
+    assert got["r", 1].link is None and got["r", 1].guid == "https://a.com/2" and got["a", 0].link == "https://b.com/1"
     assert {r.source for r in feeds.rejected(df).collect()} == {"n", "z"}
     jobs = spark.createDataFrame([('[{"id":"1","text":"Analyst","hostedUrl":"u","createdAt":1704067200000,"categories":{"location":"Dubai","team":"PE"}}]',)], "json string")
     assert feeds.lever(jobs).first()["posted_at"] == dt.datetime(2024, 1, 1)

@@ -56,7 +56,27 @@ def page_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", U.is_public(odd).alias("public"), F.when(U.safe_href(odd).startswith("mailto"), "mail").when(U.safe_href(odd).isNotNull(), "web").otherwise("none").alias("link"), U.asset_url(asset, "https://cdn").alias("asset"))
 
 
-QUERIES = {f.__name__: f for f in (feed_items, board_jobs, title_jobs, page_safety)}
+def feed_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of feeds that carry media, subjects and links of several namespaces: what belongs to the item, and its images."""
+    n = F.col("doc_id")
+    s = n.cast("string")
+    title = T.escape_html(F.regexp_replace(F.left(T.first_line(F.col("text")), F.lit(40)), r"[^A-Za-z ]", ""))
+    docs = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.floor(n / 50).alias("source_id"), F.concat(
+        F.lit("<item><media:title>Caption</media:title><title>x"), title, F.lit("</title><dc:title>No</dc:title>"),
+        F.when(n % 4 == 0, F.concat(F.lit("<link>https://a/"), s, F.lit("</link>"))).when(n % 4 == 1, F.concat(F.lit("<feedburner:origLink>https://o/"), s, F.lit("</feedburner:origLink>"))).otherwise(""),
+        F.when(n % 3 == 0, F.concat(F.lit("<guid isPermaLink='true'>https://g/"), s, F.lit("</guid>"))).when(n % 3 == 1, F.concat(F.lit("<guid>https://g/"), s, F.lit("</guid>"))).otherwise(""),
+        F.lit("<category>c</category>"), F.when(n % 2 == 0, F.concat(F.lit("<dc:subject>"), F.coalesce("lang", F.lit("")), F.lit("</dc:subject>"))).otherwise(""),
+        F.lit("<media:content url='https://i/"), s, F.lit(".jpg' width='"), (n % 160).cast("string"), F.lit("'/><media:group><media:content medium='image' url='https://m/"), s, F.lit("'/></media:group>"),
+        F.lit("<enclosure type='"), F.when(n % 5 == 0, "audio/mpeg").otherwise("image/png"), F.lit("' url='https://e/"), s, F.lit("'/><description>&lt;img src='https://h/"), s, F.lit("' width='"), (n % 200).cast("string"), F.lit("'&gt;</description></item>"),
+    ).alias("x"))
+    # fifty documents at most
+    each = docs.groupBy("source_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "x"))), lambda i: i["x"]), "").alias("items"))
+    head = "<rss xmlns:media='m' xmlns:dc='d' xmlns:feedburner='f'><channel>"
+    found = feeds.items(each.select("source_id", F.concat(F.lit(head), "items", F.lit("</channel></rss>")).alias("xml")))
+    return found.select("source_id", F.col("ord").cast("long").alias("ord"), "title", "link", "guid", F.array_join("categories", ",").alias("categories"), F.array_join("images", " ").alias("images"), "html_image")
+
+
+QUERIES = {f.__name__: f for f in (feed_items, board_jobs, title_jobs, page_safety, feed_media)}
 ORACLES = {
     "feed_items": """with d as (select doc_id, doc_id // 50 as n, trim(regexp_replace(left(split_part(text, chr(10), 1), 60), '\\s+', ' ', 'g')) as t from documents where text is not null),
 o as (select *, row_number() over (partition by n order by doc_id) - 1 as ord, timestamp '2024-01-01' + to_days(cast(doc_id % 30 as int)) as at_ from d)
@@ -69,4 +89,9 @@ union all select 'ashby', cast(p_partkey as varchar), p_name, p_brand, p_type, '
     "title_jobs": """select cast(p_partkey as varchar) as external_id, p_name as title, if(p_size % 3 <> 0, p_brand, 'Board Co') as company, case when p_size % 3 = 1 then 'Dubai' when p_size % 2 = 0 then 'Abu Dhabi, UAE' end as location from part""",
     "page_safety": """with p as (select page_id, case page_id % 5 when 0 then 'http://10.0.0.' || page_id when 1 then 'mailto:a@b.co' when 2 then 'javascript:x' else url end as u from pages)
 select page_id, regexp_matches(u, '^https?://[^/]+\\.') and not starts_with(u, 'http://10.') as public, case when starts_with(u, 'mailto') then 'mail' when regexp_matches(u, '^https://') then 'web' else 'none' end as link, case when page_id % 3 = 0 then 'https://cdn/a1b2-' || page_id || 'x5.png' end as asset from p""",
+    "feed_media": """with d as (select *, doc_id // 50 as n, trim('x' || regexp_replace(left(split_part(text, chr(10), 1), 40), '[^A-Za-z ]', '', 'g')) as title from documents where text is not null),
+l as (select *, case doc_id % 4 when 0 then 'https://a/' || doc_id when 1 then 'https://o/' || doc_id else if(doc_id % 3 = 0, 'https://g/' || doc_id, null) end as link from d)
+select n as source_id, row_number() over (partition by n order by doc_id) - 1 as ord, title, link, if(doc_id % 3 = 2, link, 'https://g/' || doc_id) as guid, 'c' || if(doc_id % 2 = 0 and lang <> '', ',' || lang, '') as categories,
+  concat_ws(' ', if(doc_id % 160 = 0 or doc_id % 160 >= 80, 'https://i/' || doc_id || '.jpg', null), 'https://m/' || doc_id, if(doc_id % 5 = 0, null, 'https://e/' || doc_id)) as images,
+  if(doc_id % 200 = 0 or doc_id % 200 >= 80, 'https://h/' || doc_id, null) as html_image from l""",
 }
