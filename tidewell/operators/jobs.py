@@ -42,23 +42,30 @@ def reject_reason(job: dict[str, Column], now: Column, uae: Column, finance: Col
 DROPPED = ("description", "requirements", "company_url", "logo_url")
 
 
-def lifecycle(known: DataFrame, seen: DataFrame, now: Column, max_age_days: int = 45, forget_days: int = 90) -> DataFrame:
+def lifecycle(known: DataFrame, seen: DataFrame, now: Column, max_age_days: int = 45, forget_days: int = 90, read: DataFrame | None = None) -> DataFrame:
     """The jobs after a run: known ones (job_id, source_id, status, posted_at, expires_at, closed_at, ...) and those that the run has seen, of sources that it read.
 
     Seen again, a job is open; one that its source no longer has is closed, an old or ended one expired; closed ones lose their texts and are forgotten in time.
-    A listing with the key (`key`) of another open job of the run before is a duplicate and left out.
+    read: source_id of all sources that were read, also of those that have no job left; without it, those that seen has jobs of.
+    A listing with the key (`key`) of another open job of the run before is a duplicate and left out; where there is none, the first new job of the run (by `ord`, else job_id)
+    takes the key, and other listings after it are duplicates. Of several listings of one job the first counts. A listing posted by hand (source manual) is dated by its new row.
     """
+    arrival = "ord" if "ord" in seen.columns else "job_id"
+    once = F.min(F.struct(arrival, F.struct(*seen.columns).alias("row"))).alias("_first")
+    listed = seen.groupBy("job_id").agg(once).select("_first.row.*")
     open_keys = known.filter("status = 'open'").select("key", F.col("job_id").alias("_other")).groupBy("key").agg(F.min("_other").alias("_other"))
-    fresh = seen.join(open_keys, "key", "left").filter(F.col("_other").isNull() | (F.col("_other") == F.col("job_id"))).drop("_other")
-    sources = seen.select("source_id").distinct().withColumn("_read", F.lit(True))
+    taken = listed.join(known.select("job_id"), "job_id", "left_anti").groupBy("key").agg(F.min(arrival).alias("_at"), F.min_by("job_id", arrival).alias("_own"))
+    own = F.when(F.col("_other").isNotNull(), F.col("_other") == F.col("job_id")).otherwise(F.col("_own").isNull() | (F.col(arrival) < F.col("_at")) | (F.col("_own") == F.col("job_id")))
+    fresh = listed.join(open_keys, "key", "left").join(taken, "key", "left").filter(own).drop("_other", "_own", "_at")
+    sources = (seen if read is None else read).select("source_id").distinct().withColumn("_read", F.lit(True))
     rest = [c for c in known.columns if c != "job_id"]
     n = fresh.select("job_id", F.lit(True).alias("_seen"), *[F.col(c).alias(f"_n_{c}") if c in fresh.columns else F.lit(None).alias(f"_n_{c}") for c in rest])
     # a duplicate, too, shows that its own listing is still there
     noted = seen.select("job_id").distinct().withColumn("_there", F.lit(True))
     both = known.withColumn("_known", F.lit(True)).join(n, "job_id", "full_outer").join(noted, "job_id", "left")
-    # a known job keeps the day on which it was posted
+    # a known job keeps the day on which it was posted, unless it was posted by hand
     kept = [c for c in rest if c not in ("status", "closed_at", "posted_at", "source_id")]
-    merged = both.select("job_id", "_seen", "_there", F.col("status").alias("_status"), F.col("closed_at").alias("_closed"), F.coalesce("posted_at", "_n_posted_at").alias("posted_at"), F.coalesce("source_id", "_n_source_id").alias("source_id"),
+    merged = both.select("job_id", "_seen", "_there", F.col("status").alias("_status"), F.col("closed_at").alias("_closed"), F.when((F.coalesce("source_id", "_n_source_id") == "manual") & F.col("_seen"), F.col("_n_posted_at")).otherwise(F.coalesce("posted_at", "_n_posted_at")).alias("posted_at"), F.coalesce("source_id", "_n_source_id").alias("source_id"),
                          *[F.when(F.col("_seen"), F.col(f"_n_{c}")).otherwise(F.col(c)).alias(c) for c in kept])
     merged = merged.join(sources, "source_id", "left")
     gone = (F.col("_status") == "open") & F.col("_read") & F.col("_there").isNull()
