@@ -29,12 +29,16 @@ def forms(term: str) -> list[str]:
 
 def found_words(text: Column, terms: Sequence[str]) -> Column:
     """The words of a text that terms may begin with, each once."""
-    wanted = sorted({f for t in terms for f in forms(t)})
+    wanted = sorted({f for t in terms for f in forms(t)} - {""})
+    if not wanted:
+        return F.array().cast("array<string>")
     return F.array_intersect(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), F.array(*map(F.lit, wanted)))
 
 
 def has(words: Column, text: Column, term: str) -> Column:
-    """Whether a lower-cased text, whose found words are given, has a term as whole words, with or without -s or -es."""
+    """Whether a lower-cased text, whose found words are given, has a term as whole words, with or without -s or -es. Terms of other scripts are searched for in the text."""
+    if not re.search("[a-z0-9]", term.lower()):
+        return T.has_term(text, term)
     near = F.arrays_overlap(words, F.array(*map(F.lit, forms(term))))
     return near if re.fullmatch("[a-z0-9]+", term.lower()) else near & T.has_term(text, term)
 
@@ -61,7 +65,8 @@ class Parts:
     def ranked(self, groups: Groups, least: int) -> Column:
         """Structs (neg, ord, id, score, hits) of groups that score so much, best first; ties keep the rules' order."""
         each = [F.struct((-self.score(t)).alias("neg"), F.lit(i).alias("ord"), F.lit(g).alias("id"), self.score(t).alias("score"), self.hits(list(t)).alias("hits")) for i, (g, t) in enumerate(groups.items())]
-        return F.array_sort(F.filter(F.array(*each), lambda s: s["score"] >= least))
+        every = F.array(*each) if each else F.array().cast("array<struct<neg:int,ord:int,id:string,score:int,hits:array<string>>>")
+        return F.array_sort(F.filter(every, lambda s: s["score"] >= least))
 
 
 def read_parts(df: DataFrame, title: Column, body: Column, terms: Sequence[str], prefix: str = "_") -> tuple[DataFrame, Parts]:
@@ -110,12 +115,23 @@ class Taxonomy:
     transaction: Groups
 
 
+def _meet(phrases: Sequence[str]) -> bool:
+    """Whether one phrase may begin in another's last words, so that it matters which is read first."""
+    words = [p.split() for p in phrases]
+    same = lambda a, b: a == b or a + "s" == b or a + "es" == b
+    return any(all(map(same, x[i:], y)) for x in words for y in words for i in range(1, len(x)) if len(y) > len(x) - i)
+
+
 def blanked(text: Column, phrases: Sequence[str]) -> Column:
-    """A lower-cased text without phrases, in one pass that tries longer ones first, so that they aren't read as shorter ones of another kind."""
-    if not phrases:
-        return text
-    any_ = "|".join(re.escape(p.lower()) for p in sorted(set(phrases), key=lambda p: (-len(p), p)))
-    return F.regexp_replace(text, f"(^|[^a-z0-9])(?:{any_})(?:s|es)?(?=$|[^a-z0-9])", "$1 ")
+    """A lower-cased text without phrases, longer ones first, so that they aren't read as shorter ones of another kind.
+
+    One pass does where no two phrases can share words of a text; else each length has its own.
+    """
+    lower = sorted({p.lower() for p in phrases}, key=lambda p: (-len(p), p))
+    passes = [[p for p in lower if len(p) == n] for n in sorted({len(p) for p in lower}, reverse=True)] if _meet(lower) else [lower] if lower else []
+    for some in passes:
+        text = F.regexp_replace(text, f"(^|[^a-z0-9])(?:{'|'.join(map(re.escape, some))})(?:s|es)?(?=$|[^a-z0-9])", "$1 ")
+    return text
 
 
 def _confidence(ranked: Column) -> Column:
