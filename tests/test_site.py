@@ -139,3 +139,15 @@ def test_picks_fall_back_to_the_automatic_order(spark):
 
 def test_asset_addresses(spark):
     assert one(spark, lambda c: url.asset_url(c, "https://cdn"), "image-abc-10x20-png") == "https://cdn/abc-10x20.png" and one(spark, lambda c: url.asset_url(c, "x"), "file-a") is None
+
+
+def test_submissions_without_an_address_are_no_copies_and_ties_have_an_order(spark):
+    schema = "kind string, at timestamp_ntz, email string, n int"
+    at = dt.datetime(2024, 1, 1)
+    new = [("newsletter", at, None, 1), ("newsletter", at, None, 2), ("newsletter", at, "A@b.c", 3), ("newsletter", at + dt.timedelta(1), " a@B.c", 4), ("newsletter", at, "known@x.y", 5), ("contact", at, "a", 6), ("contact", at, "a", 7)]
+    held = spark.createDataFrame([("newsletter", at, "KNOWN@x.y", 0)], schema)
+    got = [sorted(r.n for r in publish.appended(held, spark.createDataFrame(new[::step], schema), 10).collect()) for step in (1, -1)]
+    assert got == [[1, 2, 3, 6, 7]] * 2
+    runs = spark.createDataFrame([(i, at) for i in range(6)], "n int, at timestamp_ntz")
+    kept = [sorted(r.n for r in publish.history(runs.orderBy(o).repartition(2), runs.limit(0), "at", 3).collect()) for o in ("n", -runs.n)]
+    assert kept[0] == kept[1] and len(kept[0]) == 3

@@ -116,7 +116,7 @@ def envelope(rows: DataFrame, order: Sequence[Column], mode: str, generated_at:
 
 
 def save(table: DataFrame, path: str, version: int) -> None:
-    """Write a table as JSON lines with its schema's version; readers see all of it or the one before."""
+    """Write a table as JSON lines with its schema's version. What stood there goes first, so a job that fails loses both: commits.commit keeps the one before."""
     table.withColumn("schema_version", F.lit(version)).write.mode("overwrite").json(path)
 
 
@@ -135,19 +135,21 @@ def merged(previous: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def history(runs: DataFrame, run: DataFrame, at: str, keep: int) -> DataFrame:
-    """The newest runs, with a new one."""
-    return runs.unionByName(run).orderBy(F.desc(at)).limit(keep)
+    """The newest runs, with a new one; of those of one time, in order of a hash of the row."""
+    return runs.unionByName(run).orderBy(F.desc(at), F.xxhash64(*runs.columns)).limit(keep)
 
 
 def appended(submissions: DataFrame, new: DataFrame, cap: int) -> DataFrame:
-    """The new rows (kind, at, email, ...) that are stored: one newsletter address once, as many rows of a kind as the cap leaves room for, in order of time."""
+    """The new rows (kind, at, email, ...) that are stored: one newsletter address once, as many rows of a kind as the cap leaves room for, in order of time
+    (of one time, in order of a hash of the row). Rows without an address are no copies of each other."""
+    order = ["at", F.xxhash64(*new.columns)]
     key = F.sha2(F.lower(F.trim("email")), 256)
     known = submissions.filter("kind = 'newsletter'").select(key.alias("_key")).distinct()
-    w = Window.partitionBy("kind", F.when(F.col("kind") == "newsletter", F.col("_key")).otherwise(F.monotonically_increasing_id().cast("string"))).orderBy("at")
+    w = Window.partitionBy("kind", F.coalesce(F.when(F.col("kind") == "newsletter", F.col("_key")), F.monotonically_increasing_id().cast("string"))).orderBy(*order)
     fresh = new.withColumn("_key", key).join(known.withColumn("_known", F.lit(True)), "_key", "left").filter("kind <> 'newsletter' or _known is null")
     once = fresh.withColumn("_n", F.row_number().over(w)).filter("kind <> 'newsletter' or _n = 1")
     room = submissions.groupBy("kind").agg(F.count("*").alias("_held"))
     # tasks keep the first `cap` of a kind before the shuffle
-    first = once.withColumn("_n", F.row_number().over(Window.partitionBy("kind").orderBy("at"))).filter(F.col("_n") <= cap)
+    first = once.withColumn("_n", F.row_number().over(Window.partitionBy("kind").orderBy(*order))).filter(F.col("_n") <= cap)
     placed = first.join(room, "kind", "left")
     return placed.filter(F.col("_n") + F.coalesce("_held", F.lit(0)) <= cap).select(*new.columns)
