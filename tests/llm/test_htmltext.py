@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from tidewell.llm import htmltext
@@ -35,6 +37,14 @@ def test_long_pages_and_many_open_tags():
     assert htmltext.extract([page])[0].endswith("x\nx")
 
 
+def test_unclosed_and_unopened_tags_take_time_in_proportion():
+    """Each page took minutes while open tags were looked through one by one, and the rest of the page for each end."""
+    began = time.process_time()
+    for page in ("<article>" + "<div></span>" * 100_000 + "<p>deep", "<article><p>deep" + "<select>" * 50_000, "<article>" + "<b class='x'></i></section>" * 50_000 + "<p>deep"):
+        assert htmltext.extract([page])[0].endswith("deep")
+    assert time.process_time() - began < 30
+
+
 def test_query(spark):
     rows = [(i, f"u{i}", page, 1) for i, (page, _) in enumerate(CASES)] + [(None, None, None, None), (0, "u0", CASES[3][0], 2)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text int")

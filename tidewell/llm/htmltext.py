@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import html as references
 import re
+from collections import Counter
 from collections.abc import Iterable, Sequence
 
 import numpy as np
@@ -148,8 +149,19 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
     parts: list[str] = []
     linked: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # open elements, each with what holds inside of it
+    many: Counter[str] = Counter()  # of each name how many are open, so that an end tag without any is known at once
+    unended: set[str] = set()  # names of which no end tag follows any more
     links = 0
 
+    def begin(tag: str, furniture: bool, content: bool) -> None:
+        stack.append((tag, furniture, content))
+        many[tag] += 1
+
+    def end_last() -> str:
+        tag = stack.pop()[0]
+        many[tag] -= 1
+        return tag
+
     def end_block() -> None:
         if parts:
             words = references.unescape("".join(parts)).split()
@@ -188,17 +200,19 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
             continue
         if tag in UNSHOWN:
             if tag != "head":
-                end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at) if not closing else None
+                end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at) if not closing and tag not in unended else None
+                if not closing and end is None:
+                    unended.add(tag)
                 at = end.end() if end else at
             continue
         if tag not in BLOCK:
             # an inline element with a mark of furniture holds until it's closed; others leave no trace
             if tag not in VOID and attrs and not closing and tag != "a" and _marks(tag, attrs, False)[0]:
                 end_block()
-                stack.append((tag, True, stack[-1][2] if stack else False))
-            elif closing and any(tag == x[0] for x in stack):
+                begin(tag, True, stack[-1][2] if stack else False)
+            elif closing and many[tag]:
                 end_block()
-                while stack.pop()[0] != tag:
+                while end_last() != tag:
                     pass
             continue
         end_block()
@@ -206,17 +220,17 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
         if tag in VOID:
             continue
         if stack and stack[-1][0] == "p":
-            stack.pop()
+            end_last()
             if closing and tag == "p":
                 continue
         if closing:
-            if any(tag == x[0] for x in stack):
-                while stack.pop()[0] != tag:
+            if many[tag]:
+                while end_last() != tag:
                     pass
             continue
         top = stack[-1] if stack else ("", False, False)
         furniture, content = _marks(tag, attrs, top[2])
-        stack.append((tag, top[1] or furniture, top[2] or content))
+        begin(tag, top[1] or furniture, top[2] or content)
     end_block()
     return found
 
