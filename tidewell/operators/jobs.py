@@ -93,10 +93,13 @@ def picked(rows: DataFrame, key: str, ids: Sequence, automatic: Sequence[Column]
 
 
 def employers(jobs: DataFrame, most: int) -> DataFrame:
-    """id, name (of the first listing), initials, open_jobs, featured of open jobs' (employer_id, company, featured, ord) employers; the first `most`."""
+    """id, name (of the first listing), initials, open_jobs, featured of open jobs' (employer_id, company, featured, ord) employers; the first `most`.
+
+    Of equal employers names decide, in the order of a dictionary: accents and case count only where all else is the same.
+    """
     by = jobs.filter("company <> ''").groupBy(F.coalesce("employer_id", U.employer_id(F.col("company"))).alias("id"))
     found = by.agg(F.min_by("company", "ord").alias("name"), F.count("*").alias("open_jobs"), F.bool_or(F.coalesce("featured", F.lit(False))).alias("featured"))
-    return found.withColumn("initials", T.initials(F.col("name"))).orderBy(F.desc("featured"), F.desc("open_jobs"), F.lower("name"), "name").limit(most)
+    return found.withColumn("initials", T.initials(F.col("name"))).orderBy(F.desc("featured"), F.desc("open_jobs"), F.collate("name", "UNICODE"), "name", "id").limit(most)
 
 
 def enriched(employers: DataFrame, profiles: DataFrame, linked: DataFrame) -> DataFrame:

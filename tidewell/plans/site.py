@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.operators import bodies
 from tidewell.session import table
 from tidewell.streaming import composite
 
@@ -17,7 +18,27 @@ def request_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("event_id"), F.col("key").alias("user_id"), "ok", "wait")
 
 
-QUERIES = {f.__name__: f for f in (request_limits,)}
+def page_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as bodies, a block a line and a span a word with marks by its length: the blocks that a page shows, one a row."""
+
+    def span(word):
+        n = F.length(word)
+        marks = F.array(F.when(n % 3 == 0, "strong"), F.when(n % 4 == 0, "em"), F.when(n % 5 == 0, "good"), F.when(n % 7 == 0, "bad"))
+        return F.struct(F.when(n == 1, "break").otherwise("span").alias("_type"), F.concat(word, F.lit(" ")).alias("text"), F.array_compact(marks).alias("marks"))
+
+    def block(line, i):
+        link = lambda key, href: F.struct(F.lit("link").alias("_type"), F.lit(key).alias("_key"), F.lit(href).alias("href"))
+        defs = F.array(link("good", "https://example.com/a"), link("bad", "javascript:void"))
+        style, item = F.when(i % 3 == 0, "h2").when(i % 3 == 1, "normal").otherwise("quote"), F.when(i % 5 == 3, "number").when(i % 5 == 4, "square")
+        return F.struct(F.when(i % 9 == 8, "image").otherwise("block").alias("_type"), style.alias("style"), item.alias("listItem"), defs.alias("markDefs"), F.transform(F.split(line, " "), span).alias("children"))
+
+    docs = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.transform(F.split("text", "\n"), block).alias("body"))
+    shown = bodies.blocks(docs).select("doc_id", F.posexplode("blocks").alias("at", "b"))
+    said = F.transform("b.spans", lambda s: F.concat_ws("|", s["text"], s["bold"].cast("int").cast("string"), s["italic"].cast("int").cast("string"), F.coalesce(s["href"], F.lit("-"))))
+    return shown.select("doc_id", F.col("at").cast("long").alias("at"), F.col("b.type").alias("type"), F.col("b.list").alias("list"), F.size("b.spans").cast("long").alias("n_spans"), F.md5(F.array_join(said, "||")).alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (request_limits, page_bodies)}
 
 _A, _B = 6 * HOUR * 1_000_000, 24 * HOUR * 1_000_000
 ORACLES = {
@@ -30,4 +51,20 @@ r as (
   from r join e on e.user_id = r.user_id and e.n = r.n + 1)
 select event_id, user_id, a >= {_A} and b >= {_B} as ok,
   cast(case when a < {_A} then greatest(1, ceil(({_A} - a) / 2e6)) when b < {_B} then greatest(1, ceil(({_B} - b) / 4e6)) else 0 end as bigint) as wait from r""",
+    "page_bodies": """
+with l as (select doc_id, string_split(text, chr(10)) as ls from documents where text is not null),
+b as (select doc_id, unnest(ls) as line, generate_subscripts(ls, 1) - 1 as i from l),
+w as (select doc_id, i, string_split(line, ' ') as ws from b where i % 9 <> 8),
+c as (select doc_id, i, unnest(ws) as word, generate_subscripts(ws, 1) as k from w),
+s as (select doc_id, i, k, length(word) % 3 = 0 as bold, length(word) % 4 = 0 as italic, if(length(word) % 5 = 0, 'https://example.com/a', '-') as href,
+  regexp_replace(regexp_replace(nfc_normalize(word || ' '), '[\\x{0}-\\x{8}\\x{b}\\x{c}\\x{e}-\\x{1f}\\x{7f}-\\x{9f}\\x{200b}-\\x{200f}\\x{2028}-\\x{202e}\\x{2060}-\\x{2064}\\x{2066}-\\x{2069}\\x{feff}]', '', 'g'), '[\\s\\x{a0}]+', ' ', 'g') as t
+  from c where length(word) <> 1),
+n as (select *, coalesce((bold, italic, href) <> lag((bold, italic, href)) over (partition by doc_id, i order by k), true) as fresh from s),
+g as (select *, sum(fresh::int) over (partition by doc_id, i order by k) as run from n),
+r as (select doc_id, i, run, string_agg(t, '' order by k) as t, any_value(bold) as bold, any_value(italic) as italic, any_value(href) as href from g group by doc_id, i, run),
+e as (select *, run = 1 as first, run = max(run) over (partition by doc_id, i) as last from r),
+x as (select * replace (case when first and last then trim(t) when first then ltrim(t) when last then rtrim(t) else t end as t) from e),
+p as (select doc_id, i, count(*) as n_spans, md5(string_agg(t || '|' || bold::int || '|' || italic::int || '|' || href, '||' order by run)) as spans from x where t <> '' group by doc_id, i)
+select doc_id, row_number() over (partition by doc_id order by i) - 1 as at, case when i % 5 in (3, 4) then 'li' when i % 3 = 0 then 'h2' else 'p' end as type,
+  case i % 5 when 3 then 'number' when 4 then 'bullet' end as list, n_spans, spans from p""",
 }
