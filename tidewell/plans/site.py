@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.operators import bodies
+from tidewell.operators import bodies, slots
 from tidewell.session import table
 from tidewell.streaming import composite
 
@@ -38,7 +38,20 @@ def page_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown.select("doc_id", F.col("at").cast("long").alias("at"), F.col("b.type").alias("type"), F.col("b.list").alias("list"), F.size("b.spans").cast("long").alias("n_spans"), F.md5(F.array_join(said, "||")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (request_limits, page_bodies)}
+def slot_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as items of a page's slots, a configuration for each brand, with faults of all kinds."""
+    k, n = F.col("p_partkey"), F.col("p_size")
+    slot = F.when(k % 4 == 0, "gold").when(k % 4 == 1, "sponsoredPosts").when(k % 4 == 2, "careerResources").otherwise(F.when(k % 8 == 3, "banners").otherwise("professionalServices"))
+    fields = {
+        "id": F.concat(F.when(k % 13 == 0, "No ").otherwise("p"), (k % 97).cast("string")), "enabled": F.when(n % 5 == 0, "false").otherwise("true"), "title": F.when(k % 7 > 0, F.repeat(F.col("p_name"), (n % 10).cast("int"))).otherwise(" "),
+        "url": F.when(k % 3 == 0, "https://a.ae/").when(k % 3 == 1, "#").otherwise("http://a.ae/"),
+    }
+    extra = F.when(k % 5 == 0, F.create_map(F.lit("colorFrom"), F.when(k % 2 == 0, "#12abEF").otherwise("blue"))).when(k % 5 == 1, F.create_map(F.lit("headline"), F.col("p_type"))).when(k % 5 == 2, F.create_map(F.lit("resourceType"), F.lit("Guides"))).otherwise(F.create_map(F.lit("logoText"), F.col("p_type")))
+    item = F.map_concat(F.create_map(*[x for f, c in fields.items() for x in (F.lit(f), c)]), extra)
+    return slots.faults(table(spark, sf_dir, "part").select(F.col("p_brand").alias("config"), slot.alias("slot"), k.alias("at"), item.alias("item")))
+
+
+QUERIES = {f.__name__: f for f in (request_limits, page_bodies, slot_faults)}
 
 _A, _B = 6 * HOUR * 1_000_000, 24 * HOUR * 1_000_000
 ORACLES = {
@@ -67,4 +80,22 @@ x as (select * replace (case when first and last then trim(t) when first then lt
 p as (select doc_id, i, count(*) as n_spans, md5(string_agg(t || '|' || bold::int || '|' || italic::int || '|' || href, '||' order by run)) as spans from x where t <> '' group by doc_id, i)
 select doc_id, row_number() over (partition by doc_id order by i) - 1 as at, case when i % 5 in (3, 4) then 'li' when i % 3 = 0 then 'h2' else 'p' end as type,
   case i % 5 when 3 then 'number' when 4 then 'bullet' end as list, n_spans, spans from p""",
+    "slot_faults": """
+with i as (select p_brand as config, p_partkey as k, p_size as n, case p_partkey % 4 when 0 then 'gold' when 1 then 'sponsoredPosts' when 2 then 'careerResources' else if(p_partkey % 8 = 3, 'banners', 'professionalServices') end as slot,
+  if(p_partkey % 13 = 0, 'No ', 'p') || (p_partkey % 97) as id, p_size % 5 > 0 as enabled, if(p_partkey % 7 > 0, trim(repeat(p_name, p_size % 10)), '') as title, p_type from part),
+o as (select *, row_number() over (partition by config, slot, id order by k) as nth from i where slot <> 'banners'),
+f as (
+  select config, slot, k, 'id' as path, 'malformed' as fault from o where id like 'No %'
+  union all select config, slot, k, 'id', 'taken' from o where nth > 1
+  union all select config, slot, k, 'title', 'missing' from o where enabled and title = ''
+  union all select config, slot, k, 'title', 'too long' from o where enabled and length(title) > if(slot = 'sponsoredPosts', 90, 70)
+  union all select config, slot, k, 'url', 'no safe link' from o where enabled and k % 3 = 2
+  union all select config, slot, k, 'colorFrom', 'no colour' from o where enabled and k % 5 = 0 and k % 2 = 1
+  union all select config, slot, k, 'headline', 'now called title' from o where k % 5 = 1
+  union all select config, slot, k, 'resourceType', if(slot = 'careerResources', 'unknown kind', 'not used here') from o where k % 5 = 2 and (enabled or slot <> 'careerResources')
+  union all select config, slot, k, 'logoText', 'not used here' from o where k % 5 > 2 and slot = 'gold'
+  union all select config, slot, k, 'logoText', 'too long' from o where enabled and k % 5 > 2 and length(p_type) > case slot when 'careerResources' then 5 when 'gold' then null else 4 end)
+select config, slot, '[' || k || '].' || path as path, fault from f
+union all select distinct config, slot, '', 'now called gold' from i where slot = 'banners'
+union all select config, slot, '', count(*) || ' items, room for ' || any_value(m) from (select *, case slot when 'gold' then 10 when 'careerResources' then 12 else 20 end as m from o where enabled) x group by config, slot having count(*) > any_value(m)""",
 }
