@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.operators import bodies, slots
+from tidewell.operators import bodies, sites, slots
 from tidewell.session import table
 from tidewell.streaming import composite
 
@@ -51,7 +51,18 @@ def slot_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slots.faults(table(spark, sf_dir, "part").select(F.col("p_brand").alias("config"), slot.alias("slot"), k.alias("at"), item.alias("item")))
 
 
-QUERIES = {f.__name__: f for f in (request_limits, page_bodies, slot_faults)}
+def site_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages of two runs, some changed, some gone, some made by hand, some addresses twice: what becomes of each, with its hash."""
+    k, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    path = F.concat(F.coalesce("lang", F.lit("xx")), F.lit("/"), k.cast("string"))
+    docs = table(spark, sf_dir, "documents")
+    held = docs.filter(k % 5 > 0).select(path.alias("path"), F.sha2(F.encode(F.when(k % 7 == 0, F.concat(text, F.lit("."))).otherwise(text), "UTF-8"), 256).alias("sha256"), (k % 11 > 0).alias("generated"))
+    twice = docs.filter(k % 4 == 1).select(path.alias("path"), F.lit("later").alias("body"), F.lit(2).alias("rank"))
+    pages = docs.filter(k % 3 > 0).select(path.alias("path"), F.col("text").alias("body"), F.lit(1).alias("rank")).unionByName(twice)
+    return sites.changes(held, pages).select("path", "action", "sha256")
+
+
+QUERIES = {f.__name__: f for f in (request_limits, page_bodies, slot_faults, site_changes)}
 
 _A, _B = 6 * HOUR * 1_000_000, 24 * HOUR * 1_000_000
 ORACLES = {
@@ -98,4 +109,10 @@ f as (
 select config, slot, '[' || k || '].' || path as path, fault from f
 union all select distinct config, slot, '', 'now called gold' from i where slot = 'banners'
 union all select config, slot, '', count(*) || ' items, room for ' || any_value(m) from (select *, case slot when 'gold' then 10 when 'careerResources' then 12 else 20 end as m from o where enabled) x group by config, slot having count(*) > any_value(m)""",
+    "site_changes": """
+with d as (select doc_id as k, coalesce(lang, 'xx') || '/' || doc_id as path, coalesce(text, '') as t from documents),
+h as (select path, sha256(if(k % 7 = 0, t || '.', t)) as old, k % 11 > 0 as own from d where k % 5 > 0),
+p as (select path, sha256(if(k % 3 > 0, t, 'later')) as new from d where k % 3 > 0 or k % 4 = 1)
+select coalesce(h.path, p.path) as path, case when new is null then if(own, 'remove', 'leave') when new = old then 'keep' else 'write' end as action, coalesce(new, old) as sha256
+from h full join p on h.path = p.path""",
 }
