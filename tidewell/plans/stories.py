@@ -140,7 +140,7 @@ def events_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     today = D.dubai_day(F.lit("1998-05-05 21:00:00").cast("timestamp"))
     events = table(spark, sf_dir, "orders").select("o_orderkey", start.alias("start"), end.alias("end"), F.concat(F.lit("event "), F.col("o_custkey").cast("string")).alias("title"))
     last = F.coalesce("end", "start")
-    shown = events.filter(last >= F.date_sub(today, 30)).orderBy("start", "title", "o_orderkey").limit(50)
+    shown = events.filter(last >= F.date_sub(today, 30)).orderBy("start", F.collate("title", "UNICODE"), "o_orderkey").limit(50)
     day, month = D.event_days(F.col("start"), F.col("end"))
     return shown.select("o_orderkey", day.alias("day"), month.alias("month"), (last < today).alias("past"))
 
