@@ -92,7 +92,7 @@ def blocks(pages: DataFrame, body: str = "body", into: str = "blocks") -> DataFr
     kept = F.filter(F.coalesce(F.col(body), F.array().cast(f"array<{BLOCK}>")), lambda b: (b["_type"] == "block") & (F.size(b["children"]) > 0))
     named = pages.withColumn("_kept", kept)
     whole = F.array_join(F.transform("_kept", lambda b: F.array_join(F.transform(b["children"], lambda c: plain(c["text"])), SPAN)), END)
-    texts = F.split(T.composed(whole), END, -1)
-    named = named.withColumn("_texts", texts)
-    made = F.transform("_kept", lambda b, i: _let(F.split(F.get(F.col("_texts"), i), SPAN, -1), lambda own: _block(b, own)))
-    return named.withColumn(into, F.filter(made, lambda b: F.size(b["spans"]) > 0)).drop("_kept", "_texts")
+    named = named.withColumn("_whole", T.composed(whole))
+    # the texts are a value of their own: within the lambda they would be cut out of the whole body for each block
+    made = _let(F.split("_whole", END, -1), lambda texts: F.transform("_kept", lambda b, i: _let(F.split(F.get(texts, i), SPAN, -1), lambda own: _block(b, own))))
+    return named.withColumn(into, F.filter(made, lambda b: F.size(b["spans"]) > 0)).drop("_kept", "_whole")
