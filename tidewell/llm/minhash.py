@@ -15,7 +15,8 @@ their hub need no more. Where nodes of a hub aren't in one component yet, the re
   whenever x or y isn't linked with h: linked pairs share differences from their hub.
 - So such pairs meet in one of their rarest shared differences: a node's differences that no node of another component has, or only
   nodes linked with the hub, are put aside (no pair of interest shares them), the others ordered by how many nodes have them, and the node goes into the groups of the first of them, as many as are left over
-  when the least overlap with any partner is taken away.
+  when the least overlap with any partner is taken away. A partner y can only be met in differences whose nodes have A(y) or less as their least A, and in as many as the overlap
+  with y asks for: that gives the least A that a partner can have, and nodes without such a partner go.
 - Groups of FEW nodes or fewer are compared as pairs, if the places of the shared difference leave room for the overlap. Larger groups are
   stars again, around a hub of their own, and so on; each round takes its hubs out, so rounds end.
 
@@ -176,17 +177,23 @@ def by_differences(stars: DataFrame, labels: DataFrame, percent: int) -> tuple[D
     named = stars.withColumn("root", F.xxhash64("root", "hub")).drop("hub", "star").join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
     a = (100 + percent) * F.size("differ") - (100 - percent) * F.col("n")
     sized = named.withColumn("A", a.cast("long"))
-    least = sized.groupBy("root").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.min("A").alias("_all"), F.min(F.when(F.col("apart"), F.col("A"))).alias("_apart"))
-    nodes = materialise(sized.join(least.filter("_lo <> _hi and _apart is not null").drop("_lo", "_hi"), "root"), "nodes")
-    keys = ["root", "id", "company", "label", "A", "apart", "_all", "_apart"]
+    mixed = sized.groupBy("root").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.bool_or("apart").alias("_open")).filter("_lo <> _hi and _open")
+    nodes = materialise(sized.join(mixed.select("root"), "root"), "nodes")
+    keys = ["root", "id", "company", "label", "A", "apart"]
     each = nodes.select(*keys, F.explode("differ").alias("_d")).withColumn("g", F.xxhash64("root", "_d")).drop("_d")
     # a pair of interest has two components and one node at least that isn't linked with the hub: so has every difference that it shares
-    of_g = each.groupBy("g").agg(F.count("*").alias("_many"), F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.bool_or("apart").alias("_open"))
-    often = of_g.filter("_lo <> _hi and _open").select("g", "_many")
+    of_g = each.groupBy("g").agg(
+        F.count("*").alias("_many"), F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.min("A").alias("_all"), F.min(F.when(F.col("apart"), F.col("A"))).alias("_apart")
+    )
+    often = of_g.filter("_lo <> _hi and _apart is not null").select("g", "_many", "_all", "_apart")
     # a node's differences with other nodes: no more than its and its hub's shingles
-    ordered = each.join(often, "g").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_many", "g"))).alias("order")).withColumn("s", F.size("order"))
-    first = F.col("s") - overlap(F.col("A"), F.when(F.col("apart"), F.col("_all")).otherwise(F.col("_apart")), percent) + 1
-    placed = ordered.withColumn("_first", first.cast("int")).filter("_first > 0").select("*", F.posexplode(F.slice("order", F.lit(1), F.col("_first"))).alias("_at", "_g"))
+    least = F.when(F.col("apart"), F.col("_all")).otherwise(F.col("_apart")).alias("least")
+    ordered = each.join(often, "g").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_many", "g", least))).alias("order")).withColumn("s", F.size("order"))
+    # a partner of A(y) is met in differences whose least A is A(y) at most alone, so these must be as many as the two must share
+    sizes = F.transform(F.sort_array(F.col("order.least")), lambda a, i: F.when(i + 1 >= overlap(F.col("A"), a, percent), a))
+    partner = ordered.withColumn("_least", F.array_min(sizes)).filter("_least is not null")
+    first = F.col("s") - overlap(F.col("A"), F.col("_least"), percent) + 1
+    placed = partner.withColumn("_first", first.cast("int")).select("*", F.posexplode(F.slice("order", F.lit(1), F.col("_first"))).alias("_at", "_g"))
     node = F.struct("company", "id", "label", "A", "apart", "s", (F.col("_at") + 1).alias("pos"))
     return materialise(placed.select("root", F.col("_g.g").alias("g"), node.alias("node")), "groups"), nodes
 
