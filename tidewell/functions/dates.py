@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewell.functions.hashes import once
+
 # Zone names of feeds that Java doesn't parse.
 ZONES = {"UT": "+0000", "UTC": "+0000", "GMT": "+0000", "Z": "+0000", "GST": "+0400", "EET": "+0200", "EEST": "+0300", "CET": "+0100", "CEST": "+0200", "EST": "-0500", "EDT": "-0400"}
 FORMATS = ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm Z", "d MMM yyyy HH:mm:ss", "d MMM yyyy HH:mm", "d MMM yyyy", "yyyy-MM-dd HH:mm:ss", "MMM d, yyyy")
@@ -15,9 +17,12 @@ def parse(text: Column) -> Column:
     t = F.regexp_replace(F.trim(text), r"^[A-Za-z]{3,9},\s*", "")
     for zone, offset in ZONES.items():
         t = F.regexp_replace(t, rf"(?<=\d)\s+{zone}$", f" {offset}")
-    iso = F.when(t.rlike(r"^\d{4}-\d\d-\d\d([T ].*)?$"), F.try_to_timestamp(t))
-    found = F.coalesce(iso, *[F.try_to_timestamp(t, F.lit(f)) for f in FORMATS])
-    return F.when(F.year(found).between(1990, 2100), found)
+
+    def read(t: Column) -> Column:
+        iso = F.when(t.rlike(r"^\d{4}-\d\d-\d\d([T ].*)?$"), F.try_to_timestamp(t))
+        return F.coalesce(iso, *[F.try_to_timestamp(t, F.lit(f)) for f in FORMATS])
+
+    return once(once(t, read), lambda found: F.when(F.year(found).between(1990, 2100), found))
 
 
 def dubai_day(instant: Column) -> Column:

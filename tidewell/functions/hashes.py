@@ -16,7 +16,7 @@ _BLANK = r"[\s\x{a0}\x{feff}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{
 _ESCAPES = (("\\", "\\\\"), ('"', '\\"'), ("\b", "\\b"), ("\f", "\\f"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"))
 
 
-def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value) with the value worked out once, however often it is used, also within lambdas."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
@@ -41,7 +41,7 @@ def fnv1a64(text: Column) -> Column:
         units = F.transform(at, lambda i: F.conv(F.hex(F.substring(data, i + 1, F.lit(2))), 16, 10).cast("long"))
         return F.when(data.isNotNull(), F.aggregate(units, start, step, lambda h: F.concat(digits(h["high"]), digits(h["low"]))))
 
-    return _once(F.encode(text, "UTF-16BE"), hashed)
+    return once(F.encode(text, "UTF-16BE"), hashed)
 
 
 def trimmed(text: Column) -> Column:
@@ -145,7 +145,7 @@ def hmac_sha256(key: Column, message: Column) -> Column:
         inner = F.unhex(F.sha2(F.concat(_masked(short, 0x36), message), 256))
         return F.when(short.isNotNull(), F.sha2(F.concat(_masked(short, 0x5C), inner), 256))
 
-    return _once(F.when(F.octet_length(key) > 64, F.unhex(F.sha2(key, 256))).otherwise(key), keyed)
+    return once(F.when(F.octet_length(key) > 64, F.unhex(F.sha2(key, 256))).otherwise(key), keyed)
 
 
 def hashed_address(address: Column, salt: Column) -> Column:

@@ -89,6 +89,30 @@ def next_status(actions: Sequence[tuple], status: Column, action: Column, approv
     return to
 
 
+def refusal(actions: Sequence[tuple], action: Column, status: Column, user: Column, reason: Column, approvers: Sequence[str], guarded: Sequence[str], of: str) -> Column:
+    """Why an action on a document `of` some kind isn't allowed, null if it is. Beside the actions there is save, which only approvers may do while the status is a guarded one.
+
+    status must not be null; reason is trimmed. What the document must fulfil to be published isn't asked here.
+    """
+    known, starts, vetted = F.lit(False), F.lit(False), (action == "save") & status.isin(list(guarded))
+    for name, may, _, only_approvers in actions:
+        known, starts = known | (action == name), starts | ((action == name) & status.isin(list(may)))
+        vetted = vetted | ((action == name) & F.lit(only_approvers))
+    listed = F.coalesce(user.isin(list(approvers)), F.lit(False)) if approvers else F.lit(False)
+    return (
+        F.when(~known & (action != "save"), "unknown action").when(known & ~starts, F.concat(F.lit(f"not for a {of} that is "), status)).when(vetted & F.lit(not approvers), "no approvers")
+        .when(vetted & ~listed, "not an approver").when((action == "reject") & ~(F.octet_length(F.encode(reason, "UTF-16BE")) / 2).between(*REASON), "no reason given")
+    )
+
+
+def led(actions: Sequence[tuple], action: Column, status: Column) -> Column:
+    """The status that an action leads to; the same for others."""
+    to = status
+    for name, _, end, _ in actions:
+        to = F.when(action == name, end).otherwise(to)
+    return to
+
+
 def reset(states: DataFrame, key: str, which: Sequence[str]) -> DataFrame:
     """Breaker states (consecutive_failures, status, paused_until) with some sources as new."""
     chosen = F.col(key).isin(list(which))
