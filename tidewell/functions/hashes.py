@@ -1,11 +1,14 @@
-"""Hashes as Column expressions, without Python workers: FNV-1a of 64 bits, canonical JSON and the approval hashes made of both, and keyed SHA-256."""
+"""Hashes as Column expressions: FNV-1a of 64 bits, canonical JSON and the approval hashes made of both, and keyed SHA-256. None but `fnv_texts`, which is for many or long texts, asks for Python workers."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # FNV-1a's offset basis (high and low 32 bits), and its prime, which is 2 ** 40 + 435.
 BASIS_HIGH, BASIS_LOW, PRIME_REST = 0xCBF29CE4, 0x84222325, 435
@@ -44,6 +47,36 @@ def fnv1a64(text: Column) -> Column:
     return once(F.encode(text, "UTF-16BE"), hashed)
 
 
+#: Units of the texts of a batch that are laid side by side at a time.
+_UNITS = 256
+
+
+@F.pandas_udf(StringType())
+def _fnv_texts(texts: pd.Series) -> pd.Series:
+    known = texts.dropna()
+    units = sorted(((np.frombuffer(t.encode("utf-16-le", "surrogatepass"), "<u2"), i) for i, t in known.items()), key=lambda u: -len(u[0]))
+    sizes = np.array([len(u) for u, _ in units], dtype=np.int64)
+    state = np.full(len(units), (BASIS_HIGH << 32) + BASIS_LOW, dtype=np.uint64)
+    prime = np.uint64((1 << 40) + PRIME_REST)
+    for at in range(0, int(sizes.max(initial=0)), _UNITS):
+        # longest first, so those that still have units are the first so many
+        left = np.searchsorted(-sizes, -np.arange(at, at + _UNITS), side="left")
+        beside = np.zeros((_UNITS, left[0]), dtype=np.uint64)
+        for j in range(left[0]):
+            part = units[j][0][at : at + _UNITS]
+            beside[: len(part), j] = part
+        for row, n in zip(beside, left.tolist(), strict=True):
+            state[:n] ^= row[:n]
+            state[:n] *= prime
+    found = pd.Series([f"{h:016x}" for h in state.tolist()], index=[i for _, i in units], dtype=object)
+    return found.reindex(texts.index).where(texts.notna(), None)
+
+
+def fnv_texts(text: Column) -> Column:
+    """fnv1a64 for many or long texts: a batch of them is hashed unit by unit, side by side (through Python, so not within lambdas)."""
+    return _fnv_texts(text)
+
+
 def trimmed(text: Column) -> Column:
     """A text without blanks of any kind at its ends; empty for null."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), f"^{_BLANK}|{_BLANK}$", "")
@@ -56,7 +89,7 @@ def json_text(text: Column) -> Column:
         out = F.replace(out, F.lit(char), F.lit(escape))
     spelled = lambda c: F.when(c < " ", F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(F.ascii(c))), 4, "0"))).otherwise(c)
     out = F.when(out.rlike(r"[\x00-\x1f]"), F.array_join(F.transform(F.split(out, ""), spelled), "")).otherwise(out)
-    return F.when(text.isNull(), "null").otherwise(F.concat(F.lit('"'), out, F.lit('"')))
+    return F.coalesce(F.concat(F.lit('"'), out, F.lit('"')), F.lit("null"))
 
 
 def json_list(items: Column) -> Column:
@@ -129,7 +162,7 @@ def approval_hash() -> Column:
 
 
 def job_approval_hash() -> Column:
-    return fnv1a64(job_content())
+    return fnv_texts(job_content())
 
 
 def _masked(key: Column, mask: int) -> Column:

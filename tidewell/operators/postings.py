@@ -19,6 +19,7 @@ from tidewell.functions import dates, hashes
 from tidewell.functions import text as T
 from tidewell.functions import url as U
 from tidewell.operators import lifecycle, publish, rules
+from tidewell.session import held
 
 # Lengths, limits and choices of a posting, and the forms of ids.
 LENGTHS = {"title": (3, 160), "company": (2, 120), "location": (2, 160), "slug": (3, 96), "description": (50, 5000)}
@@ -100,8 +101,8 @@ def blockers(p: Column, now: Column) -> dict[str, Column]:
 
 
 def _lacking(now: Column, before: dict[str, Column]) -> Column:
-    """All that a posting lacks, after what fails of the checks before."""
-    return hashes.once(_read(), lambda p: rules.hold_reasons(before | blockers(p, now)))
+    """All that a posting, read as _p, lacks, after what fails of the checks before."""
+    return rules.hold_reasons(before | blockers(F.col("_p"), now))
 
 
 def approved_hash(postings: DataFrame, into: str) -> DataFrame:
@@ -113,21 +114,21 @@ def approved_hash(postings: DataFrame, into: str) -> DataFrame:
 
 def gated(postings: DataFrame, now: Column, approvers: Sequence[str]) -> DataFrame:
     """postings with `reasons`: why each is held. A wrong id or status is told alone, else all that its approval and its content lack; public ones have none."""
-    hashed = approved_hash(postings, "_hash")
+    hashed = held(approved_hash(postings, "_hash"), _read(), "_p")
     some = lambda name: F.nullif(F.col(name), F.lit(""))
     approval = publish.approval(some("approved_by"), some("approved_at"), approvers, F.col("content_hash"), F.col("_hash"))
     checks = _lacking(now, approval)
     status = F.coalesce(some("status"), F.lit("missing"))
     known = F.coalesce(F.col("id").rlike(POSTING_ID), F.lit(False))
     reasons = F.when(~known, F.array(F.lit("not a posting"))).when(status != "published", F.array(F.concat(F.lit("status is "), status))).otherwise(checks)
-    return hashed.withColumn("reasons", reasons).drop("_hash")
+    return held(hashed.drop("reasons"), reasons, "reasons").drop("_hash", "_p")
 
 
 def suggested_slug(title: Column, company: Column, posting_id: Column) -> Column:
     """Role and company in words of a-z and digits with dashes, cut at a dash, and four digits of the id's hash."""
     words = T.dashed(F.concat_ws(" ", hashes.trimmed(title), hashes.trimmed(company)))
     key = F.regexp_replace(hashes.trimmed(posting_id), r"^drafts\.", "")
-    digits = F.left(hashes.fnv1a64(F.coalesce(F.nullif(key, F.lit("")), hashes.trimmed(title))), F.lit(4))
+    digits = F.left(hashes.fnv_texts(F.coalesce(F.nullif(key, F.lit("")), hashes.trimmed(title))), F.lit(4))
     return F.concat(F.coalesce(F.nullif(words, F.lit("")), F.lit("job")), F.lit("-"), digits)
 
 
@@ -165,10 +166,10 @@ def acted(postings: DataFrame, now: Column, approvers: Sequence[str]) -> DataFra
         "filer": cleared("filer", action == "archive"),
         **{name: cleared(name, gone) for name in ("approved_by", "approved_at", "content_hash")},
     })
-    hashed = approved_hash(after, "_hash")
+    hashed = held(approved_hash(after, "_hash"), _read(), "_p")
     # `refused` reads what the posting was, `blockers` what it would be
     reasons = F.when(c("_refused").isNotNull(), F.array("_refused")).when(c("_stamps"), _lacking(now, {})).otherwise(F.array().cast("array<string>"))
-    judged = hashed.withColumn("_reasons", reasons).withColumn("_ok", F.size("_reasons") == 0)
+    judged = held(hashed, reasons, "_reasons").withColumn("_ok", F.size("_reasons") == 0)
     stamps = {"approved_by": c("user"), "approved_at": at, "content_hash": c("_hash")}
     made = lambda name: F.when(c("_stamps"), stamps[name]).otherwise(c(name)) if name in stamps else c(name)
     return judged.select(*[F.when(c("_ok"), made(name)).otherwise(c("_own")[name]).alias(name) for name in postings.columns], c("_ok").alias("ok"), c("_reasons").alias("reasons"))
