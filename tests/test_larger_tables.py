@@ -1,11 +1,14 @@
 """What shows only in larger tables or at the edges of units, each against its SQL on a few rows made for it."""
 
+import random
+
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__
+from tidewell.operators import matching
 
 CAREERS = ("job_gate", "posted_listings", "careers_lists", "job_actions")
 
@@ -49,3 +52,17 @@ def test_ages_are_of_whole_seconds(spark, tmp_path):
     times = [d.datetime(2024, 3, 6, 12, 0, 0, 500_000), d.datetime(2024, 3, 6, 12, 0, 1), d.datetime(2024, 1, 20, 12, 0, 0, 1), d.datetime(2024, 4, 1)]
     pq.write_table(pa.table({"event_id": range(len(times)), "ts": pa.array(times, pa.timestamp("us"))}), tmp_path / "events.parquet")
     against_sql(spark, tmp_path, "posted_ago")
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.07, 0.8])
+def test_similar_sets_are_judged_where_they_meet(spark, threshold):
+    """All pairs by brute force; no candidates are sorted out by a shuffle of their own, and none is joined with its tokens again."""
+    rnd = random.Random(3)
+    sets = {frozenset(rnd.choices("abcdefghijklmnopqrst", [20 - i for i in range(20)], k=rnd.randrange(1, 12))) for _ in range(70)}
+    sets |= {frozenset(f"x{i}" for i in range(100)), frozenset(f"x{i}" for i in range(93, 100))}
+    rows = list(enumerate(map(sorted, sets)))
+    found = matching.similar_pairs(spark.createDataFrame(rows + [(1000 + i, t) for i, t in rows], "id long, tokens array<string>"), threshold)
+    want = {(a, b, len({*x} & {*y}) / len({*x} | {*y})) for a, x in rows for b, y in rows if a < b and len({*x} & {*y}) / len({*x} | {*y}) >= threshold}
+    got = list(map(tuple, found.collect()))
+    assert len(got) == len(want) and set(got) == want
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 3
