@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 import numpy as np
 import public_tokenizers
@@ -59,3 +60,26 @@ def test_query(spark, sf, tmp_path):
         want.append((doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(said.encode()).hexdigest()))
     assert got == sorted(want, key=repr)
     assert bpe.encode_documents(docs.limit(0), PATH).count() == 0
+
+
+def test_decoded_side_by_side(vocabulary):
+    encoder = bpe.Encoder(vocabulary)
+    ids, ends = encoder.encode([*ODD, None])
+    want = [LIBRARY.decode(LIBRARY.encode(t or "", add_special_tokens=False).ids, skip_special_tokens=False) for t in [*ODD, None]]
+    assert encoder.decode_all(ids, ends).to_pylist() == want
+    assert encoder.decode_all(*encoder.encode([])).to_pylist() == []
+
+
+def test_letters_beyond_ascii_cost_little_more(vocabulary):
+    """A text is looked through for characters that Python doesn't know in one pass of numpy, not by a pattern of hundreds of ranges for each character."""
+    encoder = bpe.Encoder(vocabulary)
+    plain, beyond = "words and words " * 20_000, "wörds änd wörds " * 20_000
+
+    def seconds(text):
+        start = time.process_time()
+        encoder.encode([text])
+        return time.process_time() - start
+
+    for text in (plain, beyond):
+        encoder.encode([text[:160]])
+    assert min(seconds(beyond) for _ in range(3)) < 5 * min(seconds(plain) for _ in range(3))

@@ -22,9 +22,11 @@ import re
 import unicodedata
 from collections.abc import Iterable, Sequence
 from functools import cached_property, lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
@@ -38,11 +40,14 @@ SEPARATORS, WHITE = re.compile("[\x1c-\x1f]"), re.compile(r"[^\S\x1c-\x1f]+")
 
 
 @lru_cache(maxsize=1)
-def unknown() -> re.Pattern:
-    """Matches characters that Python's Unicode tables have as unassigned."""
-    none = np.array([unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)])
-    edges = np.flatnonzero(np.diff(none, prepend=False, append=False))
-    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edges.reshape(-1, 2).tolist()) + "]")
+def unassigned() -> np.ndarray:
+    """Of each code point, whether Python's Unicode tables have it as unassigned."""
+    return np.array([unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)])
+
+
+def unknown(text: str) -> bool:
+    """Whether a text holds characters that Python's Unicode tables have as unassigned."""
+    return not text.isascii() and bool(unassigned()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")].any())
 
 
 def byte_symbols() -> list[str]:
@@ -77,19 +82,24 @@ class Vocabulary:
         for token, i in [*ids.items(), *self.special.items()]:
             self.tokens[i] = token
 
+    @cached_property
+    def shown(self) -> pa.Array:
+        """The tokens as an Arrow array."""
+        return pa.array(self.tokens, pa.string())
+
     @cached_property
     def special_pattern(self) -> re.Pattern:
         return re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
 
     def normalise(self, text: str) -> str:
         """NFC and lower case character by character (so that sigma has one form)."""
-        if not text.isascii() and unknown().search(text):
+        if unknown(text):
             return self.library.normalizer.normalize_str(text)
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
-    def pieces(self, word: str) -> list[bytes]:
-        """A word's pre-tokens."""
-        if not word.isascii() and unknown().search(word):
+    def pieces(self, word: str, checked: bool = False) -> list[bytes]:
+        """A word's pre-tokens; `checked`: no character of it is unknown."""
+        if not checked and unknown(word):
             return [bytes(map(self.byte_of.__getitem__, piece)) for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(word)]
         return [piece.encode() for piece in self.pattern.findall(word)]
 
@@ -147,9 +157,10 @@ class Encoder:
         """Put words into memory, special tokens as their own ids."""
         special = self.vocabulary.special
         pieces, owner = [], []
+        checked = not unknown("".join(words))
         for i, word in enumerate(words):
             if word not in special:
-                found = self.vocabulary.pieces(word)
+                found = self.vocabulary.pieces(word, checked)
                 pieces += found
                 owner += [i] * len(found)
         ids, sizes = self.vocabulary.merge(pieces) if pieces else (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -185,9 +196,10 @@ class Encoder:
         split = [self.words(t) if t else [] for t in texts]
         if len(self.number) > self.memory:
             self._forget()
-        if new := list(dict.fromkeys(w for s in split for w in s if w not in self.number)):
+        flat = list(chain.from_iterable(split))
+        if new := list(set(flat).difference(self.number)):
             self._learn(new)
-        which = np.fromiter((self.number[w] for s in split for w in s), np.int64, sum(map(len, split)))
+        which = np.fromiter(map(self.number.__getitem__, flat), np.int64, len(flat))
         counts = self.count[which]
         ends = np.cumsum(counts)
         total = int(ends[-1]) if len(ends) else 0
@@ -200,6 +212,11 @@ class Encoder:
         tokens = self.vocabulary.tokens
         return " ".join([tokens[i] for i in ids.tolist()])
 
+    def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """decode for many texts, whose ids end at `ends`."""
+        each = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), self.vocabulary.shown.take(pa.array(ids)))
+        return pc.binary_join(each, " ")
+
 
 @lru_cache(maxsize=2)
 def worker_encoder(path: str) -> Encoder:
@@ -222,7 +239,7 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
                     key: part.column(0),
                     "n_tokens": pa.array(ends - starts, pa.int64()),
                     "ids": pa.array([packed[a:b].tobytes() for a, b in spans], pa.binary()),
-                    "decoded": pa.array([encoder.decode(packed[a:b]) for a, b in spans], pa.string()),
+                    "decoded": encoder.decode_all(ids, ends),
                 }
             )
 

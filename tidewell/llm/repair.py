@@ -152,7 +152,7 @@ class LibraryEncoder:
     def _learn(self, words: pa.Array) -> np.ndarray:
         """Remember words and return their numbers; each as what follows a blank unless it begins with a line feed; what Python's tables don't know goes to the library whole."""
         led = pc.if_else(pc.starts_with(words, "\n"), words, pc.binary_join_element_wise(" ", words, ""))
-        odd = [c for c in set("".join(led.to_pylist())) if not c.isascii() and unknown().match(c)]
+        odd = [c for c in set("".join(led.to_pylist())) if unknown(c)]
         strange = pc.match_substring_regex(led, "|".join(map(re.escape, odd))) if odd else pa.repeat(False, len(led))
         number = np.zeros(len(words), np.int64)
         for mask, encode in ((pc.invert(strange), self._cut), (strange, self._library)):
