@@ -66,3 +66,20 @@ def test_similar_sets_are_judged_where_they_meet(spark, threshold):
     got = list(map(tuple, found.collect()))
     assert len(got) == len(want) and set(got) == want
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 3
+
+
+@pytest.mark.parametrize("broadcast", ["10MB", "-1"])
+def test_only_runs_that_a_source_has_are_shuffled(spark, tmp_path, broadcast):
+    words = [f"w{i}" for i in range(40)]
+    docs = [" ".join(words), " ".join(words[:20] * 3), " ".join(words[5:12]), None, "", " ".join(f"X{i}" for i in range(5000)), "Ä " + ", ".join(words[30:38])]
+    sources = [" ".join(words[:15] * 2), " ".join(words[28:]), " ".join(words[:7]), None]
+    for name, key, texts in (("documents", "doc_id", [*docs, docs[0]]), ("benchmark", "item_id", sources)):
+        pq.write_table(pa.table({key: range(len(texts)), "text": pa.array(texts, pa.string())}), tmp_path / f"{name}.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        against_sql(spark, tmp_path, "copied_run_8gram")
+        plan = __spark_entry__.queries()["copied_run_8gram"](spark, str(tmp_path))._jdf.queryExecution()
+        assert "Aggregate" not in plan.optimizedPlan().toString().partition("Join")[2]
+        assert ("BroadcastHashJoin" in plan.sparkPlan().toString()) == (broadcast != "-1")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
