@@ -83,3 +83,12 @@ def test_only_runs_that_a_source_has_are_shuffled(spark, tmp_path, broadcast):
         assert ("BroadcastHashJoin" in plan.sparkPlan().toString()) == (broadcast != "-1")
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_bodies_are_made_once(spark, tmp_path):
+    """No filter inferred from the exploding of blocks makes them, and sends texts through Python, again; odd characters as the SQL has them."""
+    texts = ["a\x01bc \x02\x02 c\td​e f  ggggg hhhhhhh  ", "", None, " \n\nx\n yy zzz", "é " * 5 + "\n" + "word " * 300 + "\n" * 12 + "end", "w" * 420 + " " + "v" * 840 + " u"]
+    pq.write_table(pa.table({"doc_id": range(len(texts)), "text": pa.array(texts, pa.string())}), tmp_path / "documents.parquet")
+    against_sql(spark, tmp_path, "page_bodies")
+    plan = __spark_entry__.queries()["page_bodies"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("_composed(") == 1

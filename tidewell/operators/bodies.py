@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import text as T
 from tidewell.functions import url as U
+from tidewell.session import held
 
 BLOCK = "struct<_type:string,style:string,listItem:string,markDefs:array<struct<_type:string,_key:string,href:string>>,children:array<struct<_type:string,text:string,marks:array<string>>>>"
 # Kinds of blocks by their style, kinds of lists.
@@ -24,6 +25,7 @@ STYLES = {"normal": "p", "h2": "h2", "h3": "h3"}
 LISTS = ("bullet", "number")
 #: Between the spans of a block and between blocks while they are one text; neither character is ever shown.
 SPAN, END = "\x01", "\x02"
+UNSEEN = T.INVISIBLE.replace(r"\x{0}-\x{8}", r"\x{0}\x{3}-\x{8}")
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -37,62 +39,67 @@ def _safe(links: Column, marks: Column) -> Column:
     return F.get(F.filter(of, lambda h: h.isNotNull()), F.lit(0))
 
 
-def _joined(spans: Column) -> Column:
-    """Neighbours with equal marks as one span: each run of them begins where a span differs from the one before."""
-    same = lambda a, b: (a["bold"] == b["bold"]) & (a["italic"] == b["italic"]) & a["href"].eqNullSafe(b["href"])
-    starts = F.filter(F.transform(spans, lambda s, i: F.when((i == 0) | ~same(s, F.get(spans, i - 1)), i)), lambda i: i.isNotNull())
-
-    def run(starts: Column) -> Column:
-        def span(at: Column, i: Column) -> Column:
-            own = F.slice(spans, at + 1, F.coalesce(F.get(starts, i + 1), F.size(spans)) - at)
-            first = F.get(spans, at)
-            return F.struct(F.array_join(F.transform(own, lambda s: s["text"]), "").alias("text"), first["bold"].alias("bold"), first["italic"].alias("italic"), first["href"].alias("href"))
-
-        return F.transform(starts, span)
-
-    return _let(starts, run)
-
-
-def _trimmed(spans: Column) -> Column:
-    """Spans without blanks at the ends of the block, and without those that nothing is left of."""
-
-    def end(s: Column, i: Column) -> Column:
-        left = F.when(i == 0, F.ltrim(s["text"])).otherwise(s["text"])
-        return F.struct(F.when(i == F.size(spans) - 1, F.rtrim(left)).otherwise(left).alias("text"), s["bold"].alias("bold"), s["italic"].alias("italic"), s["href"].alias("href"))
-
-    return F.filter(F.transform(spans, end), lambda s: s["text"] != "")
-
-
-def _block(block: Column, texts: Column) -> Column:
-    """One block, its spans' texts being given."""
+def _read(block: Column) -> Column:
+    """What is shown of a block: its type and list, and of its spans the marks, and the texts as one."""
     some = lambda c, shape: F.coalesce(c, F.array().cast(shape))
     defs = F.filter(some(block["markDefs"], "array<struct<_type:string,_key:string,href:string>>"), lambda d: d["_type"] == "link")
     links = F.transform(defs, lambda d: F.struct(d["_key"].alias("_key"), U.safe_href(d["href"]).alias("href")))
-    shown = F.filter(F.arrays_zip(block["children"].alias("c"), texts.alias("t")), lambda z: (z["c"]["_type"] == "span") & z["c"]["text"].isNotNull())
+    shown = F.filter(block["children"], lambda c: (c["_type"] == "span") & c["text"].isNotNull())
 
-    def span(z: Column, links: Column) -> Column:
-        marks = some(z["c"]["marks"], "array<string>")
-        has = lambda name: F.coalesce(F.array_contains(marks, name), F.lit(False))
-        return F.struct(T.squeezed(z["t"]).alias("text"), has("strong").alias("bold"), has("em").alias("italic"), _safe(links, marks).alias("href"))
+    def mark(c: Column, links: Column) -> Column:
+        has = lambda name: F.coalesce(F.array_contains(c["marks"], name), F.lit(False))
+        return F.struct(has("strong").alias("bold"), has("em").alias("italic"), F.when((F.size(c["marks"]) > 0) & (F.size(links) > 0), _safe(links, c["marks"])).alias("href"))
+
+    def plain(text: Column) -> Column:
+        return F.when(text.contains(SPAN) | text.contains(END), F.translate(text, SPAN + END, "")).otherwise(text)
 
-    spans = _let(links, lambda links: F.transform(shown, lambda z: span(z, links)))
     item = F.coalesce(block["listItem"], F.lit("")) != ""
     style = F.lit("p")
     for name, kind in STYLES.items():
         style = F.when(block["style"] == name, kind).otherwise(style)
     kind = F.when(item, "li").otherwise(style)
     listed = F.when(item, F.when(block["listItem"].isin(*LISTS), block["listItem"]).otherwise("bullet"))
-    whole = _let(_let(spans, _joined), _trimmed)
-    return F.struct(kind.alias("type"), listed.alias("list"), whole.alias("spans"))
+
+    def read(shown: Column) -> Column:
+        marks = _let(links, lambda links: F.transform(shown, lambda c: mark(c, links)))
+        return F.struct(kind.alias("type"), listed.alias("list"), marks.alias("marks"), F.array_join(F.transform(shown, lambda c: plain(c["text"])), SPAN).alias("text"))
+
+    return _let(shown, read)
+
+
+def _runs(marks: Column, texts: Column) -> Column:
+    """Neighbours with equal marks as one span, without blanks at the ends of the block and without spans that nothing is left of: each begins where marks differ from those before."""
+    starts = F.filter(F.transform(marks, lambda m, i: F.when(~m.eqNullSafe(F.get(marks, i - 1)), i)), lambda i: i.isNotNull())
+
+    def runs(starts: Column) -> Column:
+        def span(at: Column, i: Column) -> Column:
+            text = F.array_join(F.slice(texts, at + 1, F.coalesce(F.get(starts, i + 1), F.size(marks)) - at), "")
+            left = F.when(i == 0, F.ltrim(text)).otherwise(text)
+            mark = F.get(marks, at)
+            trimmed = F.when(i == F.size(starts) - 1, F.rtrim(left)).otherwise(left)
+            return F.struct(trimmed.alias("text"), mark["bold"].alias("bold"), mark["italic"].alias("italic"), mark["href"].alias("href"))
+
+        return F.filter(F.transform(starts, span), lambda s: s["text"] != "")
+
+    return _let(starts, runs)
 
 
 def blocks(pages: DataFrame, body: str = "body", into: str = "blocks") -> DataFrame:
     """pages with the blocks of their bodies; see the module."""
-    plain = lambda text: F.translate(F.coalesce(text, F.lit("")), SPAN + END, "")
     kept = F.filter(F.coalesce(F.col(body), F.array().cast(f"array<{BLOCK}>")), lambda b: (b["_type"] == "block") & (F.size(b["children"]) > 0))
-    named = pages.withColumn("_kept", kept)
-    whole = F.array_join(F.transform("_kept", lambda b: F.array_join(F.transform(b["children"], lambda c: plain(c["text"])), SPAN)), END)
-    named = named.withColumn("_whole", T.composed(whole))
-    # the texts are a value of their own: within the lambda they would be cut out of the whole body for each block
-    made = _let(F.split("_whole", END, -1), lambda texts: F.transform("_kept", lambda b, i: _let(F.split(F.get(texts, i), SPAN, -1), lambda own: _block(b, own))))
-    return named.withColumn(into, F.filter(made, lambda b: F.size(b["spans"]) > 0)).drop("_kept", "_whole")
+    # what each span needs is taken from it first, so that little more than texts goes through Python and is held there
+    named = pages.withColumn("_kept", F.transform(kept, _read))
+    whole = F.array_join(F.transform("_kept", lambda b: b["text"]), END)
+    # blanks are squeezed in the whole body at once: the characters between spans stay, and no run of blanks goes beyond them
+    named = named.withColumn("_whole", T.squeezed(T.composed(whole), UNSEEN))
+
+    def made(texts: Column) -> Column:
+        def block(b: Column, i: Column) -> Column:
+            spans = _let(F.split(F.get(texts, i), SPAN, -1), lambda own: _runs(b["marks"], own))
+            return F.struct(b["type"].alias("type"), b["list"].alias("list"), spans.alias("spans"))
+
+        return F.filter(F.transform("_kept", block), lambda b: F.size(b["spans"]) > 0)
+
+    # the texts are a value of their own: within the lambda they would be cut out of the whole body for each block; the blocks are held, as a filter
+    # that Spark infers from their being exploded would else make them, and go through Python, a second time
+    return held(named.drop(into), _let(F.split("_whole", END, -1), made), into).drop("_kept", "_whole")

@@ -10,6 +10,8 @@ from tidewell.session import table
 from tidewell.streaming import composite
 
 HOUR = 3_600
+#: The marks of words by their length, which repeat after 420 characters.
+MARKS = [[mark for every, mark in ((3, "strong"), (4, "em"), (5, "good"), (7, "bad")) if n % every == 0] for n in range(420)]
 
 
 def request_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,8 +25,7 @@ def page_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def span(word):
         n = F.length(word)
-        marks = F.array(F.when(n % 3 == 0, "strong"), F.when(n % 4 == 0, "em"), F.when(n % 5 == 0, "good"), F.when(n % 7 == 0, "bad"))
-        return F.struct(F.when(n == 1, "break").otherwise("span").alias("_type"), F.concat(word, F.lit(" ")).alias("text"), F.array_compact(marks).alias("marks"))
+        return F.struct(F.when(n == 1, "break").otherwise("span").alias("_type"), F.concat(word, F.lit(" ")).alias("text"), F.get(marks, n % len(MARKS)).alias("marks"))
 
     def block(line, i):
         link = lambda key, href: F.struct(F.lit("link").alias("_type"), F.lit(key).alias("_key"), F.lit(href).alias("href"))
@@ -32,6 +33,7 @@ def page_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
         style, item = F.when(i % 3 == 0, "h2").when(i % 3 == 1, "normal").otherwise("quote"), F.when(i % 5 == 3, "number").when(i % 5 == 4, "square")
         return F.struct(F.when(i % 9 == 8, "image").otherwise("block").alias("_type"), style.alias("style"), item.alias("listItem"), defs.alias("markDefs"), F.transform(F.split(line, " "), span).alias("children"))
 
+    marks = F.array(*[F.array(*map(F.lit, m)).cast("array<string>") for m in MARKS])
     docs = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.transform(F.split("text", "\n"), block).alias("body"))
     shown = bodies.blocks(docs).select("doc_id", F.posexplode("blocks").alias("at", "b"))
     said = F.transform("b.spans", lambda s: F.concat_ws("|", s["text"], s["bold"].cast("int").cast("string"), s["italic"].cast("int").cast("string"), F.coalesce(s["href"], F.lit("-"))))
