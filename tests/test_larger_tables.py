@@ -92,3 +92,28 @@ def test_bodies_are_made_once(spark, tmp_path):
     against_sql(spark, tmp_path, "page_bodies")
     plan = __spark_entry__.queries()["page_bodies"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("_squeezed(") == 1
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8])
+def test_large_similar_sets(spark, threshold):
+    """Sets of hundreds of tokens, more than there are marks, their halves and their near copies; conditions that need tokens are tried last, within a CASE."""
+    rnd = random.Random(7)
+    words, sets = [f"t{i}" for i in range(900)], []
+    for size in (1, 2, 3, 20, 70, 150, 300, 700):
+        for _ in range(4):
+            some = rnd.sample(words, size)
+            sets += [some, some[: size // 2], some[size // 3 :], *[rnd.sample(some, size - size // k) + rnd.sample(words, size // k) for k in (3, 5, 9)]]
+    sets = {frozenset(s) for s in sets if s}
+    rows = list(enumerate(map(sorted, sets)))
+    found = matching.similar_pairs(spark.createDataFrame(rows, "id long, tokens array<string>"), threshold)
+    want = {(a, b, len({*x} & {*y}) / len({*x} | {*y})) for a, x in rows for b, y in rows if a < b and len({*x} & {*y}) / len({*x} | {*y}) >= threshold}
+    got = list(map(tuple, found.collect()))
+    assert len(got) == len(want) and set(got) == want and len(want) > 20
+    condition = next(x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in x)
+    assert not {"arrays_overlap", "array_intersect"} & set(condition.partition("CASE WHEN")[0].replace("(", " ").split())
+
+
+def test_titles_are_read_once(spark, sf):
+    """Neither by lambdas, nor again for the filter on their tokens."""
+    plan = __spark_entry__.queries()["token_sets"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ies") == 1 and "isin" not in plan and " IN (" not in plan and "INSET" not in plan
