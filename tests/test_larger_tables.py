@@ -117,3 +117,17 @@ def test_titles_are_read_once(spark, sf):
     """Neither by lambdas, nor again for the filter on their tokens."""
     plan = __spark_entry__.queries()["token_sets"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ies") == 1 and "isin" not in plan and " IN (" not in plan and "INSET" not in plan
+
+
+def test_stories_are_folded_by_no_task(spark):
+    """One chain of likeness through all items is one fold's work no more; ids below 0, equal times, items without tokens or time."""
+    import datetime as dt
+
+    import pandas as pd
+
+    rnd = random.Random(11)
+    rows = [(i - 40, dt.datetime(2024, 1, 1) + dt.timedelta(hours=rnd.randrange(300)), sorted({"hot", *rnd.choices("abcd", k=rnd.randrange(3))}) if i % 9 else []) for i in range(80)]
+    found = matching.stories(spark.createDataFrame([*rows, (99, None, ["hot"])], "id long, at timestamp, tokens array<string>"), "at", 0.5, 5)
+    whole = matching.fold_stories(0.5, 5)(pd.DataFrame(rows, columns=["id", "at", "tokens"]))
+    assert {r.id: r.story for r in found.collect()} == dict(zip(whole["id"], whole["story"], strict=True))
+    assert "InPandas" not in found._jdf.queryExecution().optimizedPlan().toString()
